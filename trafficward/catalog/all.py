@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import log_queries, entity_queries  # noqa: F401
+from . import log_queries, entity_queries, channel_queries, similarity_queries, anomaly_queries  # noqa: F401
 from .base import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -76,18 +76,18 @@ class Tables:
 
     @property
     def traffic(self) -> DataFrame:
-        return load_traffic(self.spark, self.folder)
+        return self.once("traffic", lambda: load_traffic(self.spark, self.folder))
 
     @property
     def clean(self) -> DataFrame:
-        return clean(self.traffic)
+        return self.once("clean", lambda: clean(self.traffic))
 
     @property
     def rows(self) -> DataFrame:
-        return row_features(self.clean)
+        return self.once("rows", lambda: row_features(self.clean))
 
     def once(self, name: str, build: Callable[[], object]) -> object:
-        """Fitted models shared by several queries of one session."""
+        """Analysed plans and fitted models shared by several queries of one session (no result data)."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _CACHE:
             _CACHE[key] = build()

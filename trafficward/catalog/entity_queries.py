@@ -20,25 +20,25 @@ _E = ENTITIES
 @query("D01_daily_requests", "eventId:i " + " ".join(f"{e}_daily_requests:i" for e in _E),
        "SELECT eventId, " + ", ".join(f"count(date) OVER (PARTITION BY {e}, date::DATE) AS {e}_daily_requests" for e in _E) + " FROM hits")
 def _(t):
-    return en.add_entity_activity(t.rows)
+    return en.add_entity_activity(t.clean)
 
 
 @query("D02_hourly_requests", "eventId:i " + " ".join(f"{e}_hourly_requests:i" for e in _E),
        "SELECT eventId, " + ", ".join(f"count(date) OVER (PARTITION BY {e}, date_trunc('hour', date)) AS {e}_hourly_requests" for e in _E) + " FROM hits")
 def _(t):
-    return en.add_entity_activity(t.rows)
+    return en.add_entity_activity(t.clean)
 
 
 @query("D03_country_diversity", "eventId:i " + " ".join(f"{e}_country_diversity:i" for e in _E),
        "SELECT eventId, " + ", ".join(f"count(DISTINCT country) OVER (PARTITION BY {e}) AS {e}_country_diversity" for e in _E) + " FROM hits")
 def _(t):
-    return en.add_entity_activity(t.rows)
+    return en.add_entity_activity(t.clean)
 
 
 @query("D04_hour_deviation", "eventId:i " + " ".join(f"{e}_hour_std:f" for e in _E),
        "SELECT eventId, " + ", ".join(f"coalesce(stddev_samp(hour) OVER (PARTITION BY {e}), 0) AS {e}_hour_std" for e in _E) + " FROM hits")
 def _(t):
-    return en.add_entity_activity(t.rows)
+    return en.add_entity_activity(t.clean)
 
 
 _D05 = """SELECT channelId, round_even(avg(isLikelyBot::INT), 4) AS channel_isLikelyBot_mean, count(isLikelyBot) AS channel_isLikelyBot_count,
@@ -63,37 +63,37 @@ def _(t):
     coalesce("timestamp" - lag("timestamp") OVER (PARTITION BY ip ORDER BY date, eventId), 0) AS ip_time_gap,
     coalesce("timestamp" - lag("timestamp") OVER (PARTITION BY userId ORDER BY date, eventId), 0) AS userId_time_gap FROM hits)""")
 def _(t):
-    return sq.add_gaps(sq.add_gaps(t.rows.select("eventId", "date", "ip", "userId"), "ip"), "userId")
+    return sq.add_gaps(sq.add_gaps(t.clean.select("eventId", "date", "ip", "userId"), "ip"), "userId")
 
 
 @query("D08_ip_burst", "eventId:i ip_burst_5min:i", """SELECT eventId, coalesce(sum(gap) OVER (PARTITION BY ip ORDER BY date, eventId ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) < 300, false)::INT
     AS ip_burst_5min FROM (SELECT *, epoch(date) - lag(epoch(date)) OVER (PARTITION BY ip ORDER BY date, eventId) AS gap FROM hits)""")
 def _(t):
-    return sq.add_gaps(t.rows.select("eventId", "date", "ip"), "ip", burst="ip_burst_5min")
+    return sq.add_gaps(t.clean.select("eventId", "date", "ip"), "ip", burst="ip_burst_5min")
 
 
 @query("D09_country_switches", "eventId:i ip_country_switches:i", "SELECT eventId, countries - 1 AS ip_country_switches FROM hits JOIN ip_stats USING (ip)")
 def _(t):
-    return en.attach(t.rows, en.ip_countries(t.rows), "ip")
+    return en.attach(t.clean, en.ip_countries(t.clean), "ip")
 
 
 @query("D10_ip_usage", "eventId:i ip_frequency:i channel_ip_diversity:f", """SELECT eventId, count(*) OVER (PARTITION BY ip) AS ip_frequency,
     count(DISTINCT ip) OVER (PARTITION BY channelId) / count(*) OVER (PARTITION BY channelId) AS channel_ip_diversity FROM hits""")
 def _(t):
-    return en.add_ip_usage(t.rows)
+    return en.add_ip_usage(t.clean)
 
 
 @query("D11_channel_bot_rate", "eventId:i is_bot:i channel_bot_rate:f",
        "SELECT eventId, isLikelyBot::INT AS is_bot, avg(isLikelyBot::INT) OVER (PARTITION BY channelId) AS channel_bot_rate FROM hits")
 def _(t):
-    return en.add_bot_rate(t.rows)
+    return en.add_bot_rate(t.clean)
 
 
 @query("D12_volume_percentile", "eventId:i channel_volume:i volume_percentile:f", """SELECT eventId, channel_volume,
     (rank() OVER (ORDER BY channel_volume) + (count(*) OVER (PARTITION BY channel_volume) - 1) / 2.0) / count(*) OVER () AS volume_percentile FROM
     (SELECT eventId, count(*) OVER (PARTITION BY channelId) AS channel_volume FROM hits)""")
 def _(t):
-    return en.add_volume(t.rows)
+    return en.add_volume(t.clean)
 
 
 @query("D12_volume_decile", "eventId:i volume_percentile:i", """SELECT eventId, len(list_filter(e[2:len(e) - 1], lambda x: x < channel_volume)) AS volume_percentile FROM
@@ -101,7 +101,7 @@ def _(t):
     (SELECT list_sort(list_distinct(quantile_cont(channel_volume, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM
       (SELECT count(*) OVER (PARTITION BY channelId) AS channel_volume FROM hits))""")
 def _(t):
-    return en.add_volume(t.rows, approximate=True)
+    return en.add_volume(t.clean, approximate=True)
 
 
 @query("D13_global_stats", "eventId:i fraud_score_mean:f fraud_score_std:f",
@@ -126,7 +126,7 @@ def _(t):
 @query("G01_ordered_gap", "entity:s n:i total:f largest:f", """SELECT channelId AS entity, count(gap) AS n, sum(gap) AS total, max(gap) AS largest FROM
     (SELECT channelId, epoch(date) - lag(epoch(date)) OVER (PARTITION BY channelId ORDER BY date, eventId) AS gap FROM hits) WHERE gap IS NOT NULL GROUP BY channelId""")
 def _(t):
-    found = sq.gaps(t.rows, "channelId")
+    found = sq.gaps(t.clean, "channelId")
     return found.groupBy(F.col("channelId").alias("entity")).agg(
         F.count("gap").alias("n"), F.sum("gap").alias("total"), F.max("gap").alias("largest")
     )
@@ -141,12 +141,12 @@ def _rolling_sql(minimum: int) -> str:
 
 @query("G03_rolling_full", "eventId:i gap:f rolling_mean:f rolling_std:f", _rolling_sql(5))
 def _(t):
-    return sq.rolling(t.rows, "channelId", min_periods=5)
+    return sq.rolling(t.clean, "channelId", min_periods=5)
 
 
 @query("G03_rolling_partial", "eventId:i gap:f rolling_mean:f rolling_std:f", _rolling_sql(1))
 def _(t):
-    return sq.rolling(t.rows, "channelId", min_periods=1)
+    return sq.rolling(t.clean, "channelId", min_periods=1)
 
 
 @query("G05_top_and_bottom", "side:s channelId:s quality_score:f", """(SELECT 'top' AS side, channelId, quality_score FROM scores ORDER BY quality_score DESC, channelId LIMIT 20)
@@ -169,7 +169,7 @@ def _(t):
 
 @query("G08_top_entities", "eventId:i", """SELECT eventId FROM hits WHERE ip IN (SELECT ip FROM hits GROUP BY ip ORDER BY count(*) DESC, ip LIMIT 100)""")
 def _(t):
-    return tb.keep_keys(t.rows, top_entities(t.rows, "ip", 100), "ip")
+    return tb.keep_keys(t.clean, top_entities(t.clean, "ip", 100), "ip")
 
 
 def _qcut(q: int) -> str:

@@ -133,6 +133,10 @@ def compare_blocks(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ).drop("blocks")
 
+    # both sides descend from the grid: fresh names keep their columns apart
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+
     def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(s) == 0:
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(",")])
