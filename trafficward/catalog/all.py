@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import log_queries, entity_queries, channel_queries, similarity_queries, anomaly_queries  # noqa: F401
+from . import (  # noqa: F401
+    anomaly_queries,
+    channel_queries,
+    entity_queries,
+    log_queries,
+    report_queries,
+    similarity_queries,
+    stream_queries,
+)
 from .base import REGISTRY
 
 __all__ = ["REGISTRY"]

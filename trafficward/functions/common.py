@@ -53,3 +53,13 @@ def seconds(ts: Column) -> Column:
 def safe_ratio(top: Column, bottom: Column) -> Column:
     """top/bottom, 0 where the denominator is 0 or null."""
     return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation aggregate, null for a constant column."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def slope(y: Column, x: Column) -> Column:
+    """Least-squares slope aggregate, null for a constant x."""
+    return F.try_divide(F.covar_pop(x, y), F.var_pop(x))

@@ -289,23 +289,21 @@ def canonical_flags(results: dict[str, DataFrame], keys: DataFrame) -> DataFrame
 
     Any temporal or volume sign raises its family; families without a result stay false.
     """
-    everyone = keys.select("channelId")
-    for found in results.values():
-        everyone = everyone.unionByName(found.select("channelId"))
-    table = everyone.distinct()
-    for flag in ANOMALY_FLAGS:
-        table = table.withColumn(flag, F.lit(False))
+    def votes(rows: DataFrame, flag: str | None, raised: Column) -> DataFrame:
+        return rows.select("channelId", *[(raised if f == flag else F.lit(False)).alias(f) for f in ANOMALY_FLAGS])
+
+    stacked = votes(keys, None, F.lit(False))
     for family, found in results.items():
         flag, candidates = CANONICAL[family]
         present = [c for c in candidates if c in found.columns]
         if family in ("geographic", "device", "behavioral"):
             present = present[:1]
-        if not present:
-            continue
         raised = F.lit(False)
         for c in present:
             raised = raised | F.coalesce(F.col(c), F.lit(False))
-        table = overlay(table, found.select("channelId", raised.alias(flag)), flag)
+        stacked = stacked.unionByName(votes(found, flag, raised))
+    # one aggregate overlays every family's flags on the default row of each channel
+    table = stacked.groupBy("channelId").agg(*[F.bool_or(f).alias(f) for f in ANOMALY_FLAGS])
     count = sum((F.col(c).cast("int") for c in ANOMALY_FLAGS), F.lit(0))
     return table.withColumn("overall_anomaly_count", count).withColumn(
         "overall_anomaly_flag", F.col("overall_anomaly_count") >= 2

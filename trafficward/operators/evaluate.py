@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.common import hash01
+from ..functions.common import correlation, hash01
 from ..schema import ANOMALY_FLAGS, numeric_columns
 from .quality import category, evaluate as regression_errors, regressor
 from .ranks import cumulative, melt, quantile_struct
@@ -42,7 +42,7 @@ def regression_metrics(pairs: DataFrame, truth: str = "truth", prediction: str =
         error.alias("mse"),
         F.avg(F.abs(t - p)).alias("mae"),
         (F.lit(1.0) - F.try_divide(error, F.var_pop(t))).alias("r2"),
-        F.corr(t, p).alias("correlation"),
+        correlation(t, p).alias("correlation"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.common import right_closed
+from ..functions.common import correlation, right_closed, slope
 from ..schema import ANOMALY_FLAGS
 from .quality import BANDS, standard_scale
 from .ranks import quantile_bins, quantile_struct, quantiles, row_bands
@@ -135,9 +135,9 @@ def trends(scores: DataFrame, flags: DataFrame) -> DataFrame:
             *[
                 F.struct(
                     F.lit(name).alias("line"),
-                    F.regr_slope(d(y), d(x)).alias("slope"),
-                    F.regr_intercept(d(y), d(x)).alias("intercept"),
-                    F.corr(d(y), d(x)).alias("correlation"),
+                    slope(d(y), d(x)).alias("slope"),
+                    (F.avg(d(y)) - slope(d(y), d(x)) * F.avg(d(x))).alias("intercept"),
+                    correlation(d(y), d(x)).alias("correlation"),
                 )
                 for name, y, x in lines
             ]

@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.common import correlation
 from ..schema import numeric_columns
 from .neighbours import collapse, nearest_neighbours, pairs_within
 from .quality import robust_scale, standard_scale
@@ -25,7 +26,7 @@ def to_points(df: DataFrame, columns: list[str], key: str = "channelId") -> Data
     )
 
 
-def select_features(df: DataFrame, key: str = "channelId", variance: float = 0.01, correlation: float = 0.95) -> tuple[DataFrame, list[str]]:
+def select_features(df: DataFrame, key: str = "channelId", variance: float = 0.01, max_correlation: float = 0.95) -> tuple[DataFrame, list[str]]:
     """Median-filled numeric features that vary and are not near copies of an earlier one.
 
     Columns with variance above the limit stay (all of them if none does); the later column
@@ -47,7 +48,7 @@ def select_features(df: DataFrame, key: str = "channelId", variance: float = 0.0
     if len(kept) > 1:
         vectors = VectorAssembler(inputCols=kept, outputCol="_v").transform(filled).select("_v")
         matrix = abs(Correlation.corr(vectors, "_v").first()[0].toArray())
-        independent = [c for j, c in enumerate(kept) if not any(matrix[i, j] > correlation for i in range(j))]
+        independent = [c for j, c in enumerate(kept) if not any(matrix[i, j] > max_correlation for i in range(j))]
         kept = independent or kept[:1]
     return filled.select(key, *kept), kept
 
@@ -55,7 +56,7 @@ def select_features(df: DataFrame, key: str = "channelId", variance: float = 0.0
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long (column_a, column_b, corr) for every ordered pair a before b, in one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
+    row = df.agg(*[correlation(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
     split = F.split("pair", r"\|")
     return row.unpivot([], row.columns, "pair", "corr").select(
         split[0].alias("column_a"), split[1].alias("column_b"), "corr"
