@@ -343,31 +343,32 @@ def _(t):
     return ql.split(metrics(t))
 
 
-def _fitted(t):
-    """The full scoring run, fitted once per session."""
-    from ..session import settle
+def _prepared(t):
+    return t.stored("prepared", lambda: ql.prepare(metrics(t)))
+
+
+def _model(t, name):
+    return t.once(name, lambda: ql.fit_supervised(_prepared(t), names=(name,)))
 
-    def run():
-        table, scorer = ql.score_channels(settle(metrics(t)))
-        return settle(table), scorer
 
-    return t.once("scored", run)
+def _scorer(t):
+    a, b = _model(t, "gbt_a"), _model(t, "gbt_b")
+    return ql.Scorer({**a.models, **b.models}, a.metrics + b.metrics, a.features)
 
 
 @query("I05_boosted_regression", "model:s mse:f mae:f r2:f")
 def _(t):
-    return _fitted(t)[1].metric_table(t.spark).where("model = 'gbt_a'")
+    return _model(t, "gbt_a").metric_table(t.spark)
 
 
 @query("I06_second_boosted_model", "model:s mse:f mae:f r2:f")
 def _(t):
-    return _fitted(t)[1].metric_table(t.spark).where("model = 'gbt_b'")
+    return _model(t, "gbt_b").metric_table(t.spark)
 
 
 @query("I07_band_forest", "channelId:s predicted_band:s")
 def _(t):
-    labelled = ql.derived_features(ql.quality_labels(metrics(t)))
-    prepared = ql.assemble(ql.robust_scale(labelled, ql.FEATURES))
+    prepared = _prepared(t)
     forest = ql.fit_supervised(prepared, names=("random_forest",)).models["random_forest"]
     bands = F.array(*[F.lit(b) for b in ql.BANDS])
     return forest.transform(prepared).select("channelId", F.get(bands, F.col("prediction").cast("int")).alias("predicted_band"))
@@ -413,7 +414,8 @@ def _(t):
 
 @query("I12_scored_channels", "channelId:s quality_score:f original_label:f volume:i bot_rate:f quality_category:s high_risk:b")
 def _(t):
-    return _fitted(t)[0].orderBy(F.desc("quality_score"), "channelId")
+    table, _ = ql.score_channels(t.stored("metrics", lambda: metrics(t)), scorer=_scorer(t))
+    return table.orderBy(F.desc("quality_score"), "channelId")
 
 
 @query("I13_category_and_risk", "channelId:s quality_category:s high_risk:b", "SELECT channelId, quality_category, high_risk FROM scores")
@@ -423,7 +425,7 @@ def _(t):
 
 @query("I14_feature_importance", "model:s feature:s importance:f")
 def _(t):
-    return _fitted(t)[1].importance(t.spark)
+    return _scorer(t).importance(t.spark)
 
 
 _CLOSED = "channelId:s quality_score:f traffic_volume:i bot_ratio:f high_risk_ip_ratio:f datacenter_ratio:f anonymization_ratio:f temporal_anomaly_score:f"

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.common import correlation, hash01
+from ..session import compact, settle
 from ..schema import ANOMALY_FLAGS, numeric_columns
 from .quality import category, evaluate as regression_errors, regressor
 from .ranks import cumulative, melt, quantile_struct
@@ -139,7 +140,7 @@ def cross_validate(prepared: DataFrame, folds: int = 5, trees: int = 100, names:
     """Mean and deviation of mse, mae and r2 over hashed folds, per regressor."""
     spark = prepared.sparkSession
     fold = F.floor(hash01(F.concat(F.lit("fold:"), F.col("channelId"))) * folds)
-    data = prepared.where(F.col("original_label").isNotNull()).withColumn("fold", fold).persist()
+    data = compact(settle(prepared.where(F.col("original_label").isNotNull()).withColumn("fold", fold))).persist()
     rows = []
     try:
         for name in names:

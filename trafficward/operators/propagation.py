@@ -48,29 +48,31 @@ def propagate(
             .select("id", "neighbour", (1.0 / F.sqrt(F.coalesce("deg", F.lit(1)) * F.col("to_deg"))).alias("w"))
         )
     edges = settle(edges)
-    state = given.select("id", *[F.col(f"y{c}").alias(f"c{c}") for c in CLASSES])
+    state = given.withColumns({f"c{c}": F.col(f"y{c}") for c in CLASSES})
     for _ in range(max_rounds):
-        source = state.withColumnRenamed("id", "neighbour")
+        source = state.select(F.col("id").alias("neighbour"), *shares)
         mixed = edges.join(source, "neighbour").groupBy("id").agg(
-            *[F.sum(F.col("w") * F.col(s)).alias(s) for s in shares]
+            *[F.sum(F.col("w") * F.col(f"c{c}")).alias(f"m{c}") for c in CLASSES]
         )
-        previous = state.select("id", *[F.col(s).alias(f"old_{s}") for s in shares])
-        joined = given.join(mixed, "id", "left").join(previous, "id").fillna(0.0, subset=shares)
+        joined = state.join(mixed, "id", "left").fillna(0.0, subset=[f"m{c}" for c in CLASSES])
         if method == "propagation":
-            mass = sum((F.col(s) for s in shares), F.lit(0.0))
+            mass = sum((F.col(f"m{c}") for c in CLASSES), F.lit(0.0))
             step = {
-                f"c{c}": F.when(F.col("fixed"), F.col(f"y{c}")).otherwise(
-                    F.coalesce(F.try_divide(F.col(f"c{c}"), F.col("_mass")), F.lit(0.0))
+                c: F.when(F.col("fixed"), F.col(f"y{c}")).otherwise(
+                    F.coalesce(F.try_divide(F.col(f"m{c}"), mass), F.lit(0.0))
                 )
                 for c in CLASSES
             }
-            joined = joined.withColumn("_mass", mass)
         else:
-            step = {f"c{c}": alpha * F.col(f"c{c}") + (1 - alpha) * F.col(f"y{c}") for c in CLASSES}
-        moved = settle(joined.withColumns(step))
-        change = moved.agg(F.sum(sum((F.abs(F.col(s) - F.col(f"old_{s}")) for s in shares), F.lit(0.0)))).first()[0]
-        state = moved.select("id", *shares)
-        if change is None or change < tolerance:
+            step = {c: alpha * F.col(f"m{c}") + (1 - alpha) * F.col(f"y{c}") for c in CLASSES}
+        change = sum((F.abs(step[c] - F.col(f"c{c}")) for c in CLASSES), F.lit(0.0))
+        state = settle(
+            joined.select(
+                "id", "fixed", *[f"y{c}" for c in CLASSES], *[step[c].alias(f"c{c}") for c in CLASSES],
+                change.alias("_change"),
+            )
+        )
+        if (state.agg(F.sum("_change")).first()[0] or 0.0) < tolerance:
             break
     best = F.greatest(*shares)
     choice = None

@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.common import hash01, right_closed
+from ..session import compact, settle
 from .ranks import quantile_struct
 
 # Score bands and their names; class centres of the propagated labels.
@@ -226,7 +227,7 @@ def fit_supervised(
     prepared: DataFrame, trees: int = 100, names: tuple[str, ...] = ("gbt_a", "gbt_b", "random_forest")
 ) -> Scorer:
     """Fit the models on the labelled training share; `prepared` has scaled features assembled."""
-    labelled = split(prepared.where(F.col("original_label").isNotNull())).persist()
+    labelled = compact(settle(split(prepared.where(F.col("original_label").isNotNull())))).persist()
     try:
         train, test = labelled.where(~F.col("is_test")), labelled.where(F.col("is_test"))
         models, metrics = {}, []
@@ -283,19 +284,28 @@ def rule_scores(metrics: DataFrame) -> DataFrame:
     return result_table(quality_labels(metrics), F.col("original_label"))
 
 
-def score_channels(metrics: DataFrame, trees: int = 100, label_fraction: float = 1.0, approximate: bool = False) -> tuple[DataFrame, Scorer]:
+def prepare(metrics: DataFrame, label_fraction: float = 1.0) -> DataFrame:
+    """Labelled metrics with robustly scaled features, assembled for the models."""
+    labelled = derived_features(quality_labels(metrics, label_fraction))
+    return assemble(robust_scale(labelled, FEATURES)).select("channelId", "original_label", "features", *FEATURES)
+
+
+def score_channels(
+    metrics: DataFrame,
+    trees: int = 100,
+    label_fraction: float = 1.0,
+    approximate: bool = False,
+    scorer: Scorer | None = None,
+) -> tuple[DataFrame, Scorer]:
     """Label, scale, fit, propagate and combine: the score table and the fitted models.
 
-    `approximate` halves the number of trees.
+    `approximate` halves the number of trees; a fitted `scorer` is used as it is.
     """
     from .propagation import propagate
 
     trees = trees // 2 if approximate else trees
-    labelled = derived_features(quality_labels(metrics, label_fraction))
-    raw = ["channelId", "original_label", "volume", "bot_rate", "fraud_score_avg", "ip_diversity", "country_diversity"]
-    scaled = assemble(robust_scale(labelled, FEATURES)).select("channelId", "original_label", "features", *FEATURES)
-    scaled = scaled.persist()
-    scorer = fit_supervised(scaled, trees, ("gbt_a", "gbt_b"))
+    scaled = settle(prepare(metrics, label_fraction))
+    scorer = scorer or fit_supervised(scaled, trees, ("gbt_a", "gbt_b"))
     predicted = scorer.models["gbt_b"].transform(scorer.models["gbt_a"].transform(scaled))
     spread = propagate(
         scaled.select(
@@ -305,9 +315,10 @@ def score_channels(metrics: DataFrame, trees: int = 100, label_fraction: float =
         ),
         method="propagation",
     ).select(F.col("id").alias("channelId"), class_score(F.col("label")).alias("label_propagation"))
+    raw = ["channelId", "volume", "bot_rate", "fraud_score_avg", "ip_diversity", "country_diversity"]
     joined = (
-        labelled.select(*raw)
-        .join(predicted.select("channelId", "gbt_a", "gbt_b"), "channelId")
+        metrics.select(*raw)
+        .join(predicted.select("channelId", "original_label", "gbt_a", "gbt_b"), "channelId")
         .join(spread, "channelId")
     )
     score = ensemble({n: F.col(n) for n in ["gbt_a", "gbt_b", "label_propagation"]})

@@ -55,3 +55,13 @@ def settle(df: DataFrame) -> DataFrame:
     """Materialise once in the shared folder and cut the lineage (survives lost executors)."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def compact(df: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
+    """Spread rows over as many partitions as their number calls for.
+
+    Iterative fits start one wave of tasks per step, so a small table in many partitions
+    pays for scheduling and a large table in few of them would not fit.
+    """
+    wanted = max(1, -(-df.count() // rows_per_partition))
+    return df.repartition(wanted)
