@@ -138,9 +138,11 @@ def compare_blocks(
     left = left.select(*[F.col(c).alias(c) for c in left.columns])
 
     def run(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame(columns=[c.split()[0] for c in schema.split(",")])
         if len(q) == 0 or len(s) == 0:
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(",")])
-        return kernel(q, s, _distances(np.stack(q.vec.to_numpy()), np.stack(s.vec.to_numpy())))
+            return empty
+        found = kernel(q, s, _distances(np.stack(q.vec.to_numpy()), np.stack(s.vec.to_numpy())))
+        return found if len(found) else empty
 
     return left.groupBy(*_KEYS).cogroup(right.groupBy(*_KEYS)).applyInPandas(run, schema)
 
