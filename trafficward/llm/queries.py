@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, sharding
+from . import blocks, fingerprints, packing, sharding
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,14 @@ def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(read(spark, folder, "documents"), shards=24)
+
+
+@query
+def op3_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return blocks.encoded_documents(read(spark, folder, "documents"))
+
+
+@query
+def op8_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    placed = packing.packed_documents(read(spark, folder, "documents"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
