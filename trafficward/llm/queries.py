@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, fingerprints, packing, sharding
+from . import blocks, fingerprints, packing, quality, sharding
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,10 @@ def op3_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
 def op8_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     placed = packing.packed_documents(read(spark, folder, "documents"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op6_ngram_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents")
+    ratio = quality.fit_ratio(documents, read(spark, folder, "labels"))
+    return quality.judged(documents, ratio)
