@@ -118,11 +118,11 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
     all returned; as a next document, such a key stands for the smallest of its (leading text,
     fingerprint). Empty tables give an empty result; other columns are ignored.
 
-    Texts are dealt once by key. What moves on to the neighbour is the part that it needs.
+    Texts are dealt once by key: both sides of the join below ask for the same columns of `own`,
+    so Spark reuses its exchange. What moves on to the neighbour is the part that it needs.
     """
     base = df.select(
         F.coalesce(F.col(key).cast("long"), _long(SMALLEST)).alias("key"),
-        F.col(key).alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     quarter = F.floor(F.length("text") / 4)
@@ -143,11 +143,11 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
     both = both.withColumn(
         "edited",
         F.concat(F.expr("substring(text, 1, int(n_chars - _k))"), F.expr("substring(after.lead, 1, _k)")),
-    ).select("doc_id", "n_chars", "edited", "own", F.col("after.own").alias("following"))
+    ).select("key", "n_chars", "edited", "own", F.col("after.own").alias("following"))
     both = with_fingerprint(both, "edited", "changed").withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
     both = with_likeness(with_likeness(both, "own", "changed", "near_edited"), "own", "following", "near_next")
     return both.select(
-        "doc_id",
+        F.nullif("key", _long(SMALLEST)).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"),
