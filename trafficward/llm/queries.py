@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, fingerprints, packing, quality, sharding
+from . import blocks, fingerprints, packing, quality, sharding, simhash
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op6_ngram_ratio(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
     ratio = quality.fit_ratio(documents, read(spark, folder, "labels"))
     return quality.judged(documents, ratio)
+
+
+@query
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, folder, "documents"), width=3, distance=2)
