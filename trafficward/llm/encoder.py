@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
 _ODD = re.compile("[\x1c-\x1f]")
-_SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+_WORDS = re.compile(r"[^\W\d_]+|\S+")
+_SPACED = re.compile(r" ?[^\W\d_]+| ?\S+|\s+(?!\S)|\s+")
 
 
 class _Numbers(dict):
@@ -27,14 +29,16 @@ class _Numbers(dict):
 class UnitEncoder:
     """Encodes texts as the tokenizers library does, each distinct unit once.
 
-    A unit is a piece of text that the tokenizer's own first split never crosses: a word between
-    white space where it drops white space (`spaced=False`), else a word with the one space
-    before it, or a run of white space (`spaced=True`, the byte-level split). The control
-    characters 0x1c to 0x1f, which Python but not the library takes for white space, send their
-    text whole to the library. At most `keep` units are remembered, then all are forgotten.
+    A unit is a piece of text that the tokenizer's own first split never crosses: a run of
+    letters, or anything else up to white space. Where white space counts (`spaced=True`, the
+    byte-level split), the one space before goes with it and other runs of white space are units
+    too; where it is dropped (`spaced=False`), A-Z are lowered first, and a text that is not in
+    composed form is only cut at white space. The control characters 0x1c to 0x1f, which Python
+    but not the library takes for white space, send their text whole to the library. At most
+    `keep` units are remembered, then all are forgotten.
     """
 
-    def __init__(self, vocabulary: str, spaced: bool, keep: int = 400_000) -> None:
+    def __init__(self, vocabulary: str, spaced: bool, keep: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -42,7 +46,7 @@ class UnitEncoder:
         path = vocabulary if os.path.sep in vocabulary else public_tokenizers.path(vocabulary)
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = _SPACED.findall if spaced else str.split
+        self.spaced = spaced
         self.keep = keep
         self._forget()
 
@@ -50,8 +54,35 @@ class UnitEncoder:
         self.numbers = _Numbers()
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _split(self, text: str) -> list[str]:
+        if self.spaced:
+            return _SPACED.findall(text)
+        text = text.encode().lower().decode()  # on bytes: A-Z only
+        return _WORDS.findall(text) if unicodedata.is_normalized("NFC", text) else text.split()
+
+    def _joined(self, units: list[str]) -> list[list[int]] | None:
+        """Ids of units of letters, encoded as one text and told apart by the library's word numbers."""
+        glue = [0 if u[0] == " " else 1 for u in units] if self.spaced else [0] * len(units)
+        text = "".join("\n" + u if g else u for u, g in zip(units, glue)) if self.spaced else " ".join(units)
+        found = self.library.encode(text, add_special_tokens=False)
+        place = np.cumsum(np.array(glue) + 1) - 1
+        counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(units))
+        if len(counts) != len(units) + sum(glue):
+            return None
+        ends = np.cumsum(counts)
+        ids = found.ids
+        return [ids[a:b] for a, b in zip((ends - counts)[place].tolist(), ends[place].tolist())]
+
     def _learn(self, units: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
+        found: list[list[int] | None] = [None] * len(units)
+        plain = [i for i, u in enumerate(units) if u.lstrip(" ").isalpha()]
+        for at in range(0, len(plain), 10_000):
+            part = plain[at : at + 10_000]
+            for i, ids in zip(part, self._joined([units[i] for i in part]) or []):
+                found[i] = ids
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
+            found[i] = e.ids
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
@@ -67,7 +98,7 @@ class UnitEncoder:
             if text and _ODD.search(text):
                 odd[at] = self.library.encode(text, add_special_tokens=False).ids
                 text = ""
-            units = self.split(text) if text else []
+            units = self._split(text) if text else []
             counts.append(len(units))
             found.append(np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units)))
         if self.numbers.waiting:
