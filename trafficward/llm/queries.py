@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, fingerprints, packing, quality, sharding, simhash
+from . import blocks, fingerprints, packing, quality, repeats, sharding, simhash
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,8 @@ def op6_ngram_ratio(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"), width=3, distance=2)
+
+
+@query
+def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.removal_report(read(spark, folder, "documents"), window=35)
