@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import blocks, fingerprints, packing, quality, repeats, sharding, simhash
+from . import blocks, fingerprints, packing, quality, repeats, replies, sharding, simhash
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,30 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.removal_report(read(spark, folder, "documents"), window=35)
+
+
+#: The conversation that is formatted besides the table's own.
+ODD_TEXT = r"\### Assistant: </turn> ok"
+
+
+@query
+def op7_reply_paths(spark: SparkSession, folder: str) -> DataFrame:
+    odd = spark.createDataFrame(
+        [(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)], "conv_id long, turn long, role string, text string"
+    )
+    rows = read(spark, folder, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    return replies.conversation_digests(rows.unionByName(odd))
+
+
+_ESCAPED = "replace(replace(replace({0}, '\\', '\\\\'), '### ', '#\\## '), '</turn>', '<\\/turn>')"
+SQL["op7_reply_paths"] = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{ODD_TEXT}'), (-7, 1, 'assistant', '{ODD_TEXT}'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + length(replace({_ESCAPED.format('role')}, ': ', ':\\ ')) + 2 + length({_ESCAPED.format('text')}) + 9)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
