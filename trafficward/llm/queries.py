@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import blocks, fingerprints, packing, quality, repeats, replies, sharding, simhash, unigram
+from . import blocks, brown, fingerprints, packing, quality, repeats, replies, sharding, simhash, unigram
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,12 @@ def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.removal_report(read(spark, folder, "documents"), window=35)
 
 
+@query
+def op4_brown_classes(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return brown.scored_documents(read(spark, folder, "documents"), held_out)
+
+
 @query
 def op9_unigram_viterbi(spark: SparkSession, folder: str) -> DataFrame:
     return unigram.round_trips(read(spark, folder, "documents"), unigram.load_vocabulary())
