@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
-from .common import SMALLEST, stored, text_blocks
+from .common import SMALLEST, lower_ascii, mix, run_hashes, span_hashes, stored, text_blocks, word_spans
 from .graph import components
 
 BITS = 64
@@ -128,3 +128,145 @@ def near_duplicates(
         .join(named, "root")
         .select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
     )
+
+
+# ---------------------------------------------------------------- near copies by the likeness of shingle sets
+
+#: Words of the verifying fingerprint, 64 bits each.
+VERIFY = 16
+
+
+#: For each byte, its bits as the eight bytes of a 64-bit number.
+_LANES = np.array([sum(1 << (8 * i) for i in range(8) if b >> i & 1) for b in range(256)], np.uint64)
+
+
+def _majority(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit majority fingerprint for each of n texts from hashes in order of text.
+
+    Bits are counted in byte lanes over runs of at most 255 hashes, then summed per text.
+    """
+    if not len(hashes):
+        return np.zeros(n, np.uint64)
+    sizes = np.bincount(owner, minlength=n)
+    heads = np.flatnonzero((np.arange(len(hashes)) - (np.cumsum(sizes) - sizes)[owner]) % 255 == 0)
+    who = owner[heads]
+    first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+    counts = np.zeros((n, BITS), np.int64)
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    for i in range(8):
+        lanes = np.add.reduceat(_LANES[octets[:, i]], heads).view(np.uint8).reshape(-1, 8)
+        counts[who[first], 8 * i : 8 * i + 8] = np.add.reduceat(lanes.astype(np.int64), first, axis=0)
+    return np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
+def _signatures(rows: DataFrame, width: int) -> DataFrame:
+    """(tag, least, blocks, verify): a majority fingerprint of words, and one of 1024 bits of shingles."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data, at in text_blocks(batches):
+            low, n = lower_ascii(data), len(at) - 1
+            starts, ends, text = word_spans(low, at)
+            words = span_hashes(low, starts, ends)
+            runs = run_hashes(words, width)
+            inside = text[width - 1 :] == text[: len(text) - width + 1] if len(words) >= width else np.zeros(0, bool)
+            shingles, owner = runs[inside], text[: len(runs)][inside]
+            count = np.bincount(text, minlength=n)
+            few = np.flatnonzero((count > 0) & (count < width))  # the whole sequence is one shingle
+            first = np.cumsum(count) - count
+            lone = np.array([run_hashes(words[first[i] : first[i] + count[i]], int(count[i]))[0] for i in few], np.uint64)
+            shingles, owner = np.concatenate([shingles, lone]), np.concatenate([owner, few])
+            order = np.argsort(owner, kind="stable")
+            shingles, owner = shingles[order], owner[order]
+            verify = [_majority(mix(shingles + np.uint64(i)), owner, n) for i in range(VERIFY)]
+            columns = [_majority(words, text, n).view(np.int64), np.stack(verify, axis=1)]
+            content = [v.tobytes() for v in columns[1]]
+            yield pa.RecordBatch.from_arrays([block.column("tag"), block.column("key"), pa.array(columns[0]), pa.array(content)], ["tag", "key", "blocks", "verify"])
+
+    signed = rows.mapInArrow(sign, "tag long, key long, blocks long, verify binary")
+    return signed.groupBy("tag").agg(F.min("key").alias("least"), F.first("blocks").alias("blocks"), F.first("verify").alias("verify"))
+
+
+def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what a symmetric adjacency matrix connects: a star per component."""
+    left, out = np.ones(len(near), bool), []
+    for seed in range(len(near)):
+        if not left[seed]:
+            continue
+        member = np.zeros(len(near), bool)
+        member[seed] = True
+        edge = member
+        while edge.any():
+            grown = near[edge].any(axis=0) & ~member
+            member |= grown
+            edge = grown
+        left &= ~member
+        out.extend((seed, int(i)) for i in np.flatnonzero(member) if i != seed)
+    return out
+
+
+def similar_links(nodes: DataFrame, distance: int = 5, blocks: int = 8, verify_bits: int = 166, crowd: int = 1024) -> DataFrame:
+    """Links (a, b) of tags that connect all pairs within `verify_bits` that meet.
+
+    Nodes meet where all but `distance` of the `blocks` of their word fingerprints are equal, so
+    certainly where at most `distance` bits differ, and mostly where a few more do. There they are
+    compared in their shingle fingerprints. Where more than `crowd` nodes meet, they are cut into
+    parts, and each two parts are compared in a task of their own, so no task holds more than
+    two parts; what leaves a task is a star per component, never all pairs.
+    """
+    step = BITS // blocks
+    masks = [((1 << (step if i < blocks - 1 else BITS - step * i)) - 1) << (step * i) for i in range(blocks)]
+    rests = [_signed(sum(masks) ^ sum(masks[i] for i in free)) for free in combinations(range(blocks), distance)]
+    choice = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("blocks").bitwiseAND(F.lit(r)).alias("rest")) for i, r in enumerate(rests)])
+    keyed = nodes.select("tag", F.explode(choice).alias("k")).select("tag", "k.choice", "k.rest")
+    sizes = keyed.groupBy("choice", "rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = keyed.join(sizes, ["choice", "rest"]).withColumn("parts", F.ceil(F.col("n") / crowd).cast("int"))
+    mine = F.pmod(F.xxhash64("tag"), F.col("parts")).cast("int")
+    shared = shared.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    shared = shared.withColumn("one", F.least("mine", "other")).withColumn("two", F.greatest("mine", "other"))
+    full = shared.select("tag", "choice", "rest", "one", "two").join(nodes.select("tag", "verify"), "tag")
+    group = ["choice", "rest", "one", "two"]
+
+    def compare(held: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
+        wide = np.frombuffer(b"".join(v for _, v in held), np.uint64).reshape(len(held), VERIFY)
+        away = np.zeros((len(held), len(held)), np.uint16)
+        for i in range(VERIFY):
+            away += np.bitwise_count(wide[:, None, i] ^ wide[None, :, i])
+        return [(held[i][0], held[j][0]) for i, j in _spanning(away <= verify_bits)]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            found = []
+            columns = [batch.column(c).to_pylist() for c in (*group, "tag", "verify")]
+            for *key, tag, verify in zip(*columns):
+                if key != now:
+                    if len(held) > 1:
+                        found += compare(held)
+                    now, held = key, []
+                held.append((tag, verify))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+        if len(held) > 1 and (found := compare(held)):
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    dealt = full.repartition(*group).sortWithinPartitions(*group, "tag")
+    return dealt.mapInArrow(link, "a long, b long")
+
+
+def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """`df`, all columns, with one row of each group of near copies: the one with the smallest id.
+
+    Near copies are linked where they share three of the eight blocks of the SimHash of their words
+    (sure if at most 5 of 64 bits differ, likely at some more) and the SimHash
+    of their shingles of `width` words differs in at most 166 of 1024 bits: for a likeness of 0.8 (shared over
+    all shingles) 155 differ on average, with a deviation of 11. Groups are all that links reach.
+    Equal texts are one node; null texts are empty, and all texts without words are one
+    group. Null ids come first; of rows equal in id and text one stays.
+    """
+    name = F.coalesce(F.col(text), F.lit(""))
+    full = df.withColumn("_tag", F.xxhash64(name)).withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(SMALLEST).cast("long")))
+    nodes = stored(_signatures(full.select(F.col("_tag").alias("tag"), F.col("_key").alias("key"), name.alias("text")), width), "signatures")
+    roots = components(stored(similar_links(nodes), "near-links"))
+    rooted = nodes.join(roots.withColumnRenamed("node", "tag"), "tag", "left").select("tag", "least", F.coalesce("root", "tag").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min(F.struct("least", "tag")).alias("s")).select(F.col("s.least").alias("_key"), F.col("s.tag").alias("_tag"))
+    return full.join(stay, ["_key", "_tag"], "left_semi").dropDuplicates(["_key", "_tag"]).select(*[F.col(f"`{c}`") for c in df.columns])
