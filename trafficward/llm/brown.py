@@ -365,6 +365,21 @@ def _classed(chunks: DataFrame, model: Model) -> DataFrame:
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(code, kinds)
 
 
+def step_table(moves: np.ndarray, model: Model) -> np.ndarray:
+    """log10 of a class after a class, per discounted count of the word; the last row follows an unknown
+    word, column 255 is the probability of an unknown word. A row sums to one over all words."""
+    c = model.classes
+    share = model.tokens / max(1.0, model.tokens.sum()) if model.n_tokens else np.full(c, 1.0 / c)
+    move = (moves + model.smoothing * share) / (moves.sum(axis=1, keepdims=True) + model.smoothing)
+    move = np.vstack([move, share])
+    sizes = np.maximum(model.tokens, 1.0)
+    freed = move @ np.where(model.tokens > 0, model.discount * model.types / sizes, 0.0) if model.n_tokens else np.ones(c + 1)
+    table = np.zeros((c + 1, 256))
+    table[:, :c] = np.log10(np.maximum(move / sizes, 1e-300))
+    table[:, UNKNOWN] = np.log10(np.maximum(freed, 1e-300))
+    return table
+
+
 def score(chunks: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each text of the chunks.
 
@@ -386,16 +401,7 @@ def score(chunks: DataFrame, model: Model) -> DataFrame:
     found = classed.select("held", "lengths", "classes").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     full = np.zeros(256 * 256)
     full[found["cell"]] = found["n"]
-    moves = full.reshape(256, 256)[:c, :c]
-    share = model.tokens / max(1.0, model.tokens.sum()) if model.n_tokens else np.full(c, 1.0 / c)
-    move = (moves + model.smoothing * share) / (moves.sum(axis=1, keepdims=True) + model.smoothing)
-    move = np.vstack([move, share])  # the last row: after an unknown word
-    sizes = np.maximum(model.tokens, 1.0)
-    freed = move @ np.where(model.tokens > 0, model.discount * model.types / sizes, 0.0) if model.n_tokens else np.ones(c + 1)
-    table = np.full((c + 1, 256), 0.0)
-    with np.errstate(divide="ignore"):
-        table[:, :c] = np.log10(move / sizes)
-        table[:, UNKNOWN] = np.log10(np.maximum(freed, 1e-300))
+    table = step_table(full.reshape(256, 256)[:c, :c], model)
     schema = pa.schema(
         [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())]
     )

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import mix, powers, span_hashes, stored, text_blocks, word_spans
+from .common import mix, powers, span_hashes, stored, text_blocks, text_tag, unused, word_spans
 
 _ENDLESS = 1 << 30
 _A = np.uint64(0xD6E8FEB86659FD93)
@@ -304,8 +304,8 @@ def _strip(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(strip, "tag long, n_removed long, kept string")
 
 
-def stripped(df: DataFrame, text: str = "text", window: int = 35, held: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """The rows with a `tag` for their text, and (tag, n_removed, kept) for each text that loses words.
+def stripped(texts: DataFrame, window: int = 35, held: int = 1_000_000) -> DataFrame:
+    """(tag, n_removed, kept) for each text that loses words, from (tag, text).
 
     A word is lost if it is in a window of `window` words that also starts anywhere else, in the
     same text or another; `kept` joins the remaining words by one space. Null texts are empty and
@@ -317,19 +317,18 @@ def stripped(df: DataFrame, text: str = "text", window: int = 35, held: int = 1_
     """
     if window < 3:
         raise ValueError("a window has at least three words")
-    tagged = df.withColumn("tag", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    texts = tagged.select("tag", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = texts.select("tag", F.coalesce("text", F.lit("")).alias("text"))
     marks = stored(_marks(texts, window, held), "repeat-marks")
     marked = texts.join(marks, "tag").groupBy("tag").agg(F.first("text").alias("text"), F.first("marks").alias("marks"))
     marked = stored(marked, "repeat-texts")
     repeated = _windows(marked.where(F.exists("marks", lambda m: m.bitwiseAND(2) > 0)), window, held)
-    lost = _strip(marked.join(repeated, "tag", "left"), window).where("n_removed > 0")
-    return tagged, lost
+    return _strip(marked.join(repeated, "tag", "left"), window).where("n_removed > 0")
 
 
 def removal_report(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row; rows that repeat an id are each returned."""
-    tagged, lost = stripped(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), window=window)
+    tagged = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), text_tag(text).alias("tag"))
+    lost = stripped(tagged.select("tag", "text"), window)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, at in text_blocks(batches):
@@ -348,6 +347,8 @@ def removal_report(df: DataFrame, key: str = "doc_id", text: str = "text", windo
 
 def without_repeats(df: DataFrame, text: str = "text", window: int = 35) -> DataFrame:
     """`df` with the remaining words, joined by one space, in place of each text that loses words."""
-    tagged, lost = stripped(df, text, window)
-    joined = tagged.withColumnRenamed("tag", "_tag").join(lost.select(F.col("tag").alias("_tag"), F.col("kept").alias("_kept")), "_tag", "left")
-    return joined.select(*[F.coalesce("_kept", F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    tag, kept = unused(df, "_tag"), unused(df, "_kept")
+    tagged = df.withColumn(tag, text_tag(text))
+    lost = stripped(tagged.select(F.col(tag).alias("tag"), F.col(f"`{text}`").alias("text")), window)
+    joined = tagged.join(lost.select(F.col("tag").alias(tag), F.col("kept").alias(kept)), tag, "left")
+    return joined.select(*[F.coalesce(kept, f"`{c}`").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

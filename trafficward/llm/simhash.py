@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
-from .common import SMALLEST, lower_ascii, mix, run_hashes, span_hashes, stored, text_blocks, word_spans
+from .common import SMALLEST, lower_ascii, mix, run_hashes, span_hashes, stored, text_blocks, text_tag, unused, word_spans
 from .graph import components
 
 BITS = 64
@@ -263,10 +263,14 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text",
     Equal texts are one node; null texts are empty, and all texts without words are one
     group. Null ids come first; of rows equal in id and text one stays.
     """
-    name = F.coalesce(F.col(text), F.lit(""))
-    full = df.withColumn("_tag", F.xxhash64(name)).withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(SMALLEST).cast("long")))
-    nodes = stored(_signatures(full.select(F.col("_tag").alias("tag"), F.col("_key").alias("key"), name.alias("text")), width), "signatures")
+    tag, order = unused(df, "_tag"), unused(df, "_key")
+    smallest = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(SMALLEST).cast("long"))
+    full = df.withColumn(tag, text_tag(text)).withColumn(order, smallest)
+    texts = full.select(F.col(tag).alias("tag"), F.col(order).alias("key"), F.col(f"`{text}`").alias("text"))
+    nodes = stored(_signatures(texts, width), "signatures")
     roots = components(stored(similar_links(nodes), "near-links"))
     rooted = nodes.join(roots.withColumnRenamed("node", "tag"), "tag", "left").select("tag", "least", F.coalesce("root", "tag").alias("root"))
-    stay = rooted.groupBy("root").agg(F.min(F.struct("least", "tag")).alias("s")).select(F.col("s.least").alias("_key"), F.col("s.tag").alias("_tag"))
-    return full.join(stay, ["_key", "_tag"], "left_semi").dropDuplicates(["_key", "_tag"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    stay = rooted.groupBy("root").agg(F.min(F.struct("least", "tag")).alias("s"))
+    stay = stay.select(F.col("s.least").alias(order), F.col("s.tag").alias(tag))
+    left = full.join(stay, [order, tag], "left_semi").dropDuplicates([order, tag])
+    return left.select(*[F.col(f"`{c}`") for c in df.columns])
