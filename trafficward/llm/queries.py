@@ -93,3 +93,20 @@ SELECT conv_id, count(*) AS n_turns,
   sum(4 + length(replace({_ESCAPED.format('role')}, ': ', ':\\ ')) + 2 + length({_ESCAPED.format('text')}) + 9)::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+SQL["op10_recompression"] = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i,
+    unnest(list_transform(range(1, len(ws) - 33), i -> md5(array_to_string(ws[i:i + 34], ' ')))) AS h
+  FROM texts WHERE len(ws) >= 35),
+again AS (SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM again, range(35) t(k)),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS word FROM texts),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
