@@ -98,7 +98,7 @@ SQL["op10_recompression"] = r"""
 WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 windows AS (
   SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i,
-    unnest(list_transform(range(1, len(ws) - 33), i -> md5(array_to_string(ws[i:i + 34], ' ')))) AS h
+    unnest(list_transform(range(1, len(ws) - 33), lambda i: md5(array_to_string(ws[i:i + 34], ' ')))) AS h
   FROM texts WHERE len(ws) >= 35),
 again AS (SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
 gone AS (SELECT DISTINCT doc_id, i + k AS j FROM again, range(35) t(k)),
