@@ -207,5 +207,5 @@ def _(t):
     from ..session import new_folder
 
     path = new_folder(t.spark, "forest")
-    det.IsolationForest.fit(t.points, trees=50).save(t.spark, path)
+    det.IsolationForest.fit(t.points, trees=100).save(t.spark, path)
     return det.IsolationForest.load(t.spark, path).score(t.points)

@@ -17,6 +17,19 @@ def _stream(t):
     return events_as_traffic(live.read_files(t.spark, t.folder, schema, "events.parquet"))
 
 
+def _sliced(t, slices: int = 3):
+    """The events as a stream of one micro-batch per time slice, in order of time."""
+    configure(t.spark)
+    events = t.read("events")
+    at = F.col("ts").cast("timestamp").cast("double")
+    edges = events.select(F.percentile_approx(at, [i / slices for i in range(1, slices)], 10000)).first()[0] or []
+    folder = new_folder(t.spark, "event-slices")
+    numbered = events.withColumn("_slice", sum((F.when(at > e, 1).otherwise(0) for e in edges), F.lit(0)))
+    for i in range(slices):
+        numbered.where(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(folder)
+    return events_as_traffic(live.read_files(t.spark, folder, events.schema, files_per_batch=1))
+
+
 def _collected(t, stream, name: str):
     path = new_folder(t.spark, name)
     live.to_parquet(stream, f"{path}/out", f"{path}/log").awaitTermination()
@@ -42,9 +55,12 @@ def _(t):
     return t.spark.read.parquet(f"{path}/out")
 
 
-@query("P03_repeat_suppression", "request_key:s", "SELECT DISTINCT md5('{\"channelId\":\"' || channelId || '\",\"ip\":\"' || ip || '\",\"device\":\"' || device || '\"}') AS request_key FROM traffic")
+@query("P03_repeat_suppression", "eventId:i request_key:s", """SELECT eventId, request_key FROM (SELECT *, floor(epoch(date))::BIGINT - lag(floor(epoch(date))::BIGINT) OVER (PARTITION BY request_key ORDER BY date, eventId) AS gap
+    FROM (SELECT eventId, date, md5('{"channelId":"' || channelId || '","ip":"' || ip || '","device":"' || device || '"}') AS request_key FROM traffic)) WHERE gap IS NULL OR gap > 3600""")
 def _(t):
-    return _collected(t, live.suppress_repeats(_stream(t), ["channelId", "ip", "device"]), "repeat-stream")
+    path = new_folder(t.spark, "repeat-stream")
+    live.write_fresh(_sliced(t), ["channelId", "ip", "device"], path, f"{path}/log").awaitTermination()
+    return t.spark.read.parquet(f"{path}/fresh")
 
 
 @query("P04_ip_bursts", "slot:s ip:s requests:i", f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS slot, ip, count(*) AS requests FROM (SELECT ip, date_trunc('minute', date) - to_minutes(m) AS w FROM traffic, range(5) r(m))
@@ -57,5 +73,5 @@ def _(t):
 @query("P05_request_gaps", "eventId:i ip:s ip_time_gap:i", """SELECT eventId, ip, coalesce(floor(epoch(date))::BIGINT - lag(floor(epoch(date))::BIGINT) OVER (PARTITION BY ip ORDER BY date, eventId), 0) AS ip_time_gap FROM traffic""")
 def _(t):
     path = new_folder(t.spark, "gap-stream")
-    live.write_gaps(_stream(t), path, f"{path}/log").awaitTermination()
+    live.write_gaps(_sliced(t), path, f"{path}/log").awaitTermination()
     return t.spark.read.parquet(f"{path}/gaps")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import settle
 from ..schema import ANOMALY_FLAGS, numeric_columns
 from . import channels as ch
 from . import detectors as det
@@ -287,8 +288,11 @@ def overlay(base: DataFrame, new: DataFrame, column: str, key: str = "channelId"
 def canonical_flags(results: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
     """Five flags for every channel of the log or of any detector, their count and the ≥2 flag.
 
-    Any temporal or volume sign raises its family; families without a result stay false.
+    Any temporal or volume sign raises its family; families without a result stay false, those
+    that failed (see `detect`) are null and not counted.
     """
+    failed = {CANONICAL[f][0] for f in getattr(results, "failed", {})}
+
     def votes(rows: DataFrame, flag: str | None, raised: Column) -> DataFrame:
         return rows.select("channelId", *[(raised if f == flag else F.lit(False)).alias(f) for f in ANOMALY_FLAGS])
 
@@ -303,8 +307,10 @@ def canonical_flags(results: dict[str, DataFrame], keys: DataFrame) -> DataFrame
             raised = raised | F.coalesce(F.col(c), F.lit(False))
         stacked = stacked.unionByName(votes(found, flag, raised))
     # one aggregate overlays every family's flags on the default row of each channel
-    table = stacked.groupBy("channelId").agg(*[F.bool_or(f).alias(f) for f in ANOMALY_FLAGS])
-    count = sum((F.col(c).cast("int") for c in ANOMALY_FLAGS), F.lit(0))
+    table = stacked.groupBy("channelId").agg(
+        *[(F.lit(None).cast("boolean") if f in failed else F.bool_or(f)).alias(f) for f in ANOMALY_FLAGS]
+    )
+    count = sum((F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in ANOMALY_FLAGS), F.lit(0))
     return table.withColumn("overall_anomaly_count", count).withColumn(
         "overall_anomaly_flag", F.col("overall_anomaly_count") >= 2
     )
@@ -324,8 +330,18 @@ def wide_flags(results: list[DataFrame]) -> DataFrame:
     )
 
 
-def detect(df: DataFrame, contamination: float = 0.1, approximate: bool = False) -> dict[str, DataFrame]:
-    """Run the five families; one that fails is logged and left out, the others stand."""
+class Findings(dict):
+    """Results per family; `failed` names the families without one, and why."""
+
+    failed: dict[str, str]
+
+
+def detect(df: DataFrame, contamination: float = 0.1, approximate: bool = False) -> Findings:
+    """Run the five families to the end, each on its own.
+
+    One that fails, when planned or when run, is logged and named in `failed`; the others
+    stand, and `canonical_flags` leaves its flag null.
+    """
     trees = 50 if approximate else 100
     families: dict[str, Callable[[], DataFrame]] = {
         "temporal": lambda: temporal_anomalies(df, contamination, trees, approximate),
@@ -334,12 +350,14 @@ def detect(df: DataFrame, contamination: float = 0.1, approximate: bool = False)
         "behavioral": lambda: behavioural_anomalies(df, contamination, trees),
         "volume": lambda: volume_anomalies(df),
     }
-    results = {}
+    results = Findings()
+    results.failed = {}
     for name, run in families.items():
         try:
-            results[name] = run()
-        except Exception:  # noqa: BLE001 - the other families must still report
+            results[name] = settle(run())
+        except Exception as error:  # noqa: BLE001 - the other families must still report
             log.exception("%s anomaly detection failed", name)
+            results.failed[name] = f"{type(error).__name__}: {error}"
     return results
 
 

@@ -98,6 +98,10 @@ def with_scores(df: DataFrame, quality: DataFrame, anomalies: DataFrame, level:
         if "overall_anomaly_count" in have
         else absent("overall_anomaly_count", "int"),
     )
+    # one row per key: a repeated key must not multiply the rows it meets
+    flags = flags.groupBy(key).agg(
+        *[F.bool_or(c).alias(c) for c in ANOMALY_FLAGS], F.max("overall_anomaly_count").alias("overall_anomaly_count")
+    )
     joined = df.join(quality.select("channelId", "quality_score"), "channelId", "left").join(flags, key, "left")
     return joined.withColumns(
         {

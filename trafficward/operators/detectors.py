@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.common import hash01
 from .neighbours import nearest_neighbours
 from .ranks import quantile
 
@@ -67,18 +66,20 @@ class IsolationForest:
 
     @staticmethod
     def fit(df: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> "IsolationForest":
-        """Rows are drawn by hash from a pool of fixed expected size; each tree grows in its own task."""
+        """Each tree draws its rows by its own hash over all rows, and grows in its own task.
+
+        A tree's threshold lets about 1.5 samples pass, of which the `sample` lowest hashes stay,
+        so a task holds a few hundred rows whatever the table's size. No rows, no trees.
+        """
         size = df.count()
         psi = min(sample, size)
-        share = min(1.0, 16.0 * sample / max(size, 1))
-        pool = df.select(F.col("id").cast("string").alias("id"), "vec")
-        if share < 1.0:
-            pool = pool.where(hash01(F.concat(F.lit(f"pool{seed}:"), F.col("id"))) < share)
+        share = min(1.0, 1.5 * sample / max(size, 1) + 10.0 * math.sqrt(sample) / max(size, 1))
+        rows = df.select(F.col("id").cast("string").alias("id"), "vec")
+        mark = lambda t: F.pmod(F.xxhash64(t, F.col("id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
         turn = Window.partitionBy("tree").orderBy(F.xxhash64("tree", "id", F.lit(seed)), "id")
+        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: mark(t) < share)
         drawn = (
-            pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-            .withColumn("_turn", F.row_number().over(turn))
-            .where(F.col("_turn") <= psi)
+            rows.withColumn("tree", F.explode(chosen)).withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= psi)
         )
 
         def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -216,6 +217,8 @@ def one_class_svm(
             F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)).alias("s"),
             F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("q"),
         ).first()
+        if not moments.n:
+            return df.select("id", F.lit(None).cast("double").alias("svm_score"), F.lit(False).alias("svm_anomaly")).limit(0)
         d, cells = moments.d, moments.d * moments.n
         variance = moments.q / cells - (moments.s / cells) ** 2
         gamma = 1.0 / (d * variance) if variance > 0 else 1.0
@@ -267,8 +270,10 @@ def elliptic_envelope(df: DataFrame, contamination: float = 0.1, rounds: int = 1
     from ..session import settle
 
     df = settle(df.select(F.col("id").cast("string").alias("id"), "vec"))
-    d = df.select(F.size("vec")).first()[0]
     n = df.count()
+    if not n:
+        return df.select("id", F.lit(None).cast("double").alias("mahalanobis"), F.lit(False).alias("envelope_anomaly"))
+    d = df.select(F.size("vec")).first()[0]
     half = min(n, (n + d + 1) // 2)
     approx = lambda c: F.percentile_approx(c, 0.5, 10000)
     centre = np.array(df.agg(F.array(*[approx(F.col("vec")[i]) for i in range(d)])).first()[0])

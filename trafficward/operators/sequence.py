@@ -69,16 +69,17 @@ def without_carried(df: DataFrame) -> DataFrame:
     return df.where(~F.col("_carry")).drop("_slot", "_salt", "_carry")
 
 
-def add_gaps(df: DataFrame, entity: str, burst: str | None = None) -> DataFrame:
+def add_gaps(df: DataFrame, entity: str, burst: str | None = None, first: int | None = 0) -> DataFrame:
     """Whole-second gap to the previous request of the entity and the velocity 1/(gap+1).
 
-    First requests and rows without an entity get gap 0. With `burst` a flag of that name
+    First requests and rows without an entity get the gap `first`. With `burst` a flag of that name
     tells whether the last five gaps add up to less than five minutes (first request: 0).
     """
     rows, w = with_neighbours(df, entity, before=5 if burst else 1)
     stamp = F.unix_seconds(F.col("date").cast("timestamp"))
     lost = F.col(entity).isNull()
-    gap = F.when(lost, F.lit(0)).otherwise(F.coalesce(stamp - F.lag(stamp).over(w), F.lit(0)))
+    start = F.lit(first).cast("bigint")
+    gap = F.when(lost, start).otherwise(F.coalesce(stamp - F.lag(stamp).over(w), start))
     out = {f"{entity}_time_gap": gap}
     if burst:
         now = seconds(F.col("date"))

@@ -125,7 +125,10 @@ def clustering_metrics(labelled: DataFrame, name: str) -> DataFrame:
 
 def principal_components(points: DataFrame, k: int = 10) -> tuple[DataFrame, list[float]]:
     """(id, components) on at most k axes and the variance share of each axis."""
-    width = points.select(F.size("vec")).first()[0]
+    head = points.select(F.size("vec")).first()
+    if head is None:
+        return points.select("id", F.array().cast("array<double>").alias("components")), []
+    width = head[0]
     model = PCA(k=min(k, width), inputCol="features", outputCol="_pca").fit(_vectors(points))
     projected = model.transform(_vectors(points)).select("id", vector_to_array("_pca").alias("components"))
     return projected, [float(v) for v in model.explainedVariance]

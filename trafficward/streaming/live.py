@@ -85,13 +85,17 @@ def request_key(columns: list[str]) -> F.Column:
     return F.md5(F.to_json(F.struct(*columns)))
 
 
-def suppress_repeats(stream: DataFrame, columns: list[str], ttl: str = "1 hour") -> DataFrame:
-    """Drop requests equal to an earlier one within the time to live."""
-    return (
-        _timed(stream, ttl)
-        .withColumn("request_key", request_key(columns))
-        .dropDuplicatesWithinWatermark(["request_key"])
-    )
+def write_fresh(
+    stream: DataFrame, columns: list[str], path: str, checkpoint: str, ttl_seconds: int = 3600, late_seconds: int | None = None
+) -> StreamingQuery:
+    """Drop requests with an equal request at most `ttl_seconds` before, across micro-batches.
+
+    The rule looks at event times only, so one batch and many give the same rows as long as a
+    request is not overtaken by a later one of an earlier batch. The last request per key is the
+    state; keys silent for longer than the time to live (and `late_seconds`) are forgotten,
+    since their next request is fresh either way.
+    """
+    return _write_sequence(stream.withColumn("request_key", request_key(columns)), path, checkpoint, "request_key", ttl_seconds, late_seconds, True)
 
 
 def ip_bursts(stream: DataFrame, threshold: int = 5, length: str = "5 minutes", step: str = "1 minute", late: str = "1 hour") -> DataFrame:
@@ -106,15 +110,27 @@ def ip_bursts(stream: DataFrame, threshold: int = 5, length: str = "5 minutes",
     )
 
 
-def write_gaps(stream: DataFrame, path: str, checkpoint: str, entity: str = "ip", ttl_seconds: int = 86400) -> StreamingQuery:
-    """Seconds since the entity's previous request, across micro-batches.
+def write_gaps(
+    stream: DataFrame, path: str, checkpoint: str, entity: str = "ip", ttl_seconds: int | None = None, late_seconds: int | None = None
+) -> StreamingQuery:
+    """Seconds since the entity's previous request, across micro-batches; 0 for a first request.
 
-    The last request of every entity is kept as a table per batch. A batch joins the rows
-    with that table in one bucketed sequence (see `operators.sequence`), so a hot address is
+    With a time to live, a request after a longer silence counts as a first one, wherever the
+    batches are cut. Without it no entity is ever forgotten.
+    """
+    return _write_sequence(stream, path, checkpoint, entity, ttl_seconds, late_seconds, False)
+
+
+def _write_sequence(
+    stream: DataFrame, path: str, checkpoint: str, entity: str, ttl: int | None, late: int | None, only_fresh: bool
+) -> StreamingQuery:
+    """The last request of every entity is kept as a table per batch. A batch joins its rows
+    with that table in one bucketed sequence (see `operators.sequence`), so a hot entity is
     split by hour as in the batch job. Re-running a batch reads the same state and
-    overwrites the same output. Entities silent for longer than the time to live are forgotten.
+    overwrites the same output.
     """
     fields = [entity, "date", TIE]
+    folder = "fresh" if only_fresh else "gaps"
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -123,17 +139,18 @@ def write_gaps(stream: DataFrame, path: str, checkpoint: str, entity: str = "ip"
         if number > 0:
             state = spark.read.parquet(f"{path}/state/{number - 1}").withColumn("_known", F.lit(True))
             rows = rows.unionByName(state)
-        add_gaps(rows, entity).where(~F.col("_known")).select(*fields, f"{entity}_time_gap").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/gaps/batch={number}")
-        newest = rows.agg(F.max("date")).scalar()
-        last = (
-            rows.where(F.col(entity).isNotNull())
-            .groupBy(entity)
-            .agg(F.max(F.struct("date", TIE)).alias("last"))
-            .select(entity, "last.*")
-            .where(F.unix_seconds("date") >= F.unix_seconds(newest) - ttl_seconds)
-        )
+        found = add_gaps(rows, entity, first=None).where(~F.col("_known"))
+        gap = F.col(f"{entity}_time_gap")
+        fresh = gap.isNull() if ttl is None else gap.isNull() | (gap > ttl)
+        if only_fresh:
+            out = found.where(fresh).select(*fields)
+        else:
+            out = found.select(*fields, F.when(fresh, 0).otherwise(gap).cast("bigint").alias(f"{entity}_time_gap"))
+        out.write.mode("overwrite").parquet(f"{path}/{folder}/batch={number}")
+        last = rows.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.max(F.struct("date", TIE)).alias("last")).select(entity, "last.*")
+        if ttl is not None:
+            newest = rows.agg(F.max("date")).scalar()
+            last = last.where(F.unix_seconds("date") >= F.unix_seconds(newest) - ttl - (ttl if late is None else late))
         last.write.mode("overwrite").parquet(f"{path}/state/{number}")
 
     return each_chunk(stream, step, checkpoint)
