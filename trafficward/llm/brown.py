@@ -50,10 +50,11 @@ class Model:
     end_class: int
 
 
-def code_corpus(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", chunk_bytes: int = 16 << 20) -> DataFrame:
+def code_corpus(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", chunk_tokens: int = 2_500_000) -> DataFrame:
     """The texts as chunks of token numbers; null texts hold the end alone.
 
     A-Z are lowered; words are runs of bytes outside space and \\t..\\r, told apart by 64-bit hashes.
+    A chunk is closed at a text's end once it holds `chunk_tokens` tokens.
     """
     rows = df.select(
         F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
@@ -61,55 +62,42 @@ def code_corpus(df: DataFrame, held_out, key: str = "doc_id", text: str = "text"
     )
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seq, (block, data, at) in enumerate(_gathered(batches, chunk_bytes)):
+        parts, size, seq, part = [], 0, 0, 0
+        for block, data, at in text_blocks(batches):
             low = lower_ascii(data)
             starts, ends, text_of = word_spans(low, at)
-            n = len(at) - 1
-            lengths = np.bincount(text_of, minlength=n) + 1
-            stop = np.cumsum(lengths) - 1
+            lengths = np.bincount(text_of, minlength=len(at) - 1) + 1
             hashes = np.full(int(lengths.sum()), END, np.uint64)
             place = np.ones(len(hashes), bool)
-            place[stop] = False
+            place[np.cumsum(lengths) - 1] = False
             hashes[place] = span_hashes(low, starts, ends)
-            held = block.column("held").to_numpy(zero_copy_only=False)
-            trained = np.repeat(~held, lengths)
-            words, numbers, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-            order = np.argsort(-counts, kind="stable")  # common words get small numbers
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            numbers = rank[numbers]
-            train = np.bincount(numbers[trained], minlength=len(words))
-            chunk = (block.column("part")[0].as_py() << 24) + seq
-            columns = [
-                [chunk], [len(numbers)], [pack_blocks(numbers)], [words[order].tobytes()], [train.astype(np.int64).tobytes()],
-                [block.column("doc_id").to_pylist()], [held.tolist()], [lengths.tolist()],
-            ]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
-            names = [c.split()[0] for c in _CHUNK.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            part = block.column("part")[0].as_py()
+            parts.append((hashes, lengths, block.column("held").to_numpy(zero_copy_only=False), block.column("doc_id").to_pylist()))
+            size += len(hashes)
+            if size >= chunk_tokens:
+                yield _chunk((part << 24) + seq, parts)
+                parts, size, seq = [], 0, seq + 1
+        if parts:
+            yield _chunk((part << 24) + seq, parts)
 
     return rows.mapInArrow(code, _CHUNK)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Blocks of about `size` bytes, over the borders of Arrow batches."""
-    parts: list[tuple] = []
-    held = 0
-
-    def join() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-        data = np.concatenate([d for _, d, _ in parts])
-        sizes = np.concatenate([np.diff(a) for _, _, a in parts])
-        table = pa.Table.from_batches([b.select(["doc_id", "held", "part"]) for b, _, _ in parts]).combine_chunks()
-        return table.to_batches()[0], data, np.append(0, np.cumsum(sizes))
-
-    for block, data, at in text_blocks(batches):
-        parts.append((block, data, at))
-        held += len(data)
-        if held >= size:
-            yield join()
-            parts, held = [], 0
-    if parts:
-        yield join()
+def _chunk(name: int, parts: list[tuple]) -> pa.RecordBatch:
+    hashes, lengths, held = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    words, numbers, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")  # common words get small numbers
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    numbers = rank[numbers]
+    train = np.bincount(numbers[np.repeat(~held, lengths)], minlength=len(words))
+    columns = [
+        [name], [len(numbers)], [pack_blocks(numbers)], [words[order].tobytes()], [train.astype(np.int64).tobytes()],
+        [[i for p in parts for i in p[3]]], [held.tolist()], [lengths.tolist()],
+    ]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
+    names = [c.split()[0] for c in _CHUNK.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
