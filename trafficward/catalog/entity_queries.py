@@ -20,25 +20,25 @@ _E = ENTITIES
 @query("D01_daily_requests", "eventId:i " + " ".join(f"{e}_daily_requests:i" for e in _E),
        "SELECT eventId, " + ", ".join(f"count(date) OVER (PARTITION BY {e}, date::DATE) AS {e}_daily_requests" for e in _E) + " FROM hits")
 def _(t):
-    return en.add_entity_activity(t.clean)
+    return en.add_entity_activity(t.clean, measures=("daily",))
 
 
 @query("D02_hourly_requests", "eventId:i " + " ".join(f"{e}_hourly_requests:i" for e in _E),
        "SELECT eventId, " + ", ".join(f"count(date) OVER (PARTITION BY {e}, date_trunc('hour', date)) AS {e}_hourly_requests" for e in _E) + " FROM hits")
 def _(t):
-    return en.add_entity_activity(t.clean)
+    return en.add_entity_activity(t.clean, measures=("hourly",))
 
 
 @query("D03_country_diversity", "eventId:i " + " ".join(f"{e}_country_diversity:i" for e in _E),
        "SELECT eventId, " + ", ".join(f"count(DISTINCT country) OVER (PARTITION BY {e}) AS {e}_country_diversity" for e in _E) + " FROM hits")
 def _(t):
-    return en.add_entity_activity(t.clean)
+    return en.add_entity_activity(t.clean, measures=("countries",))
 
 
 @query("D04_hour_deviation", "eventId:i " + " ".join(f"{e}_hour_std:f" for e in _E),
        "SELECT eventId, " + ", ".join(f"coalesce(stddev_samp(hour) OVER (PARTITION BY {e}), 0) AS {e}_hour_std" for e in _E) + " FROM hits")
 def _(t):
-    return en.add_entity_activity(t.clean)
+    return en.add_entity_activity(t.clean, measures=("hours",))
 
 
 _D05 = """SELECT channelId, round_even(avg(isLikelyBot::INT), 4) AS channel_isLikelyBot_mean, count(isLikelyBot) AS channel_isLikelyBot_count,

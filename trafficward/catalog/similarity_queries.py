@@ -209,3 +209,14 @@ def _(t):
     path = new_folder(t.spark, "forest")
     det.IsolationForest.fit(t.points, trees=100).save(t.spark, path)
     return det.IsolationForest.load(t.spark, path).score(t.points)
+
+
+@query("A11_saved_forest_same", "points:i max_difference:f", "SELECT count(*) AS points, 0.0 AS max_difference FROM embeddings")
+def _(t):
+    from ..session import new_folder
+
+    path = new_folder(t.spark, "forest")
+    fitted = det.IsolationForest.fit(t.points, trees=100)
+    fitted.save(t.spark, path)
+    both = det.IsolationForest.load(t.spark, path).score(fitted.score(t.points, "before"), "after")
+    return both.agg(F.count("*").alias("points"), F.max(F.abs(F.col("before") - F.col("after"))).alias("max_difference"))

@@ -26,18 +26,29 @@ def entropy(text: pd.Series) -> pd.Series:
     """Shannon entropy in bits of the characters of the whole text; null or empty → 0.
 
     Built-in functions need one scan of the text per distinct character and measured 20 times
-    slower; here each distinct text of an Arrow batch is counted once.
+    slower; here the characters of many distinct texts of an Arrow batch are counted at once.
     """
-
-    def bits(value: str) -> float:
-        codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        counts = np.unique(codes, return_counts=True)[1]
-        return float(np.log2(len(codes)) - (counts * np.log2(counts)).sum() / len(codes))
-
     places, texts = pd.factorize(text)
-    known = np.array([bits(t) if t else 0.0 for t in texts] + [0.0])
     # a null text has place -1, the last slot
-    return pd.Series(known[places])
+    return pd.Series(np.append(_bits([t or "" for t in texts]), 0.0)[places])
+
+
+def _bits(texts: list[str], limit: int = 1 << 20) -> np.ndarray:
+    """Entropy of each text; about `limit` characters at a time."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.zeros(len(texts))
+    start = 0
+    while start < len(texts):
+        room = np.searchsorted(np.cumsum(sizes[start:]), limit, "right")
+        stop = start + max(1, int(room))
+        codes = np.frombuffer("".join(texts[start:stop]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(stop - start), sizes[start:stop])
+        pairs, counts = np.unique(owner << 21 | codes, return_counts=True)
+        total = np.maximum(sizes[start:stop], 1)
+        known = np.bincount(pairs >> 21, weights=counts * np.log2(counts), minlength=stop - start)
+        out[start:stop] = np.maximum(np.log2(total) - known / total, 0.0)
+        start = stop
+    return out
 
 
 def words(text: Column) -> Column:

@@ -14,13 +14,17 @@ from ..schema import ENTITIES, TIE
 from .ranks import average_rank_share, quantile_bins, quantiles
 
 
-def entity_activity(df: DataFrame, entity: str) -> DataFrame:
-    """Per entity and hour slot: daily and hourly requests, country diversity, hour deviation."""
-    known = df.where(F.col(entity).isNotNull())
-    hourly = known.groupBy(entity, F.date_trunc("hour", "date").alias("_slot")).agg(
+MEASURES = ("daily", "hourly", "countries", "hours")
+
+
+def _hourly(known: DataFrame, entity: str) -> DataFrame:
+    return known.groupBy(entity, F.date_trunc("hour", "date").alias("_slot")).agg(
         F.count("date").alias("_n"), F.first(F.hour("date").cast("double")).alias("_hour")
     )
-    day = Window.partitionBy(entity, F.to_date("_slot"))
+
+
+def _hour_spread(hourly: DataFrame, entity: str) -> DataFrame:
+    """(entity, hour_std): sample deviation of the hour of day, from counts per hour slot."""
     n, h = F.col("_n"), F.col("_hour")
     spread = hourly.groupBy(entity).agg(
         F.sum(n).alias("_t"), F.sum(n * h).alias("_s"), F.sum(n * h * h).alias("_q")
@@ -28,30 +32,45 @@ def entity_activity(df: DataFrame, entity: str) -> DataFrame:
     variance = F.try_divide(
         F.col("_q") - F.col("_s") * F.col("_s") / F.nullif(F.col("_t"), F.lit(0)), F.col("_t") - 1
     )
-    countries = known.groupBy(entity).agg(F.count_distinct("country").alias(f"{entity}_country_diversity"))
-    stats = spread.join(countries, entity).select(
-        entity,
-        f"{entity}_country_diversity",
-        F.coalesce(F.sqrt(F.greatest(variance, F.lit(0.0))), F.lit(0.0)).alias(f"{entity}_hour_std"),
-    )
-    dated = F.col("_slot").isNotNull()
-    slots = hourly.select(
-        entity,
-        "_slot",
-        F.when(dated, F.sum("_n").over(day)).alias(f"{entity}_daily_requests"),
-        F.when(dated, F.col("_n")).alias(f"{entity}_hourly_requests"),
+    return spread.select(
+        entity, F.coalesce(F.sqrt(F.greatest(variance, F.lit(0.0))), F.lit(0.0)).alias(f"{entity}_hour_std")
     )
-    return slots.join(stats, entity)
 
 
-def add_entity_activity(df: DataFrame, entities: list[str] = ENTITIES) -> DataFrame:
-    """The four activity columns of every entity, one join each; null entities get nulls."""
+def entity_activity(df: DataFrame, entity: str, measures: tuple[str, ...] = MEASURES) -> DataFrame:
+    """The measures asked for: per entity and hour slot if requests per day or hour are among them, else per entity."""
+    known = df.where(F.col(entity).isNotNull())
+    tables = []
+    if "countries" in measures:
+        tables.append(known.groupBy(entity).agg(F.count_distinct("country").alias(f"{entity}_country_diversity")))
+    hourly = _hourly(known, entity)
+    if "hours" in measures:
+        tables.append(_hour_spread(hourly, entity))
+    if {"daily", "hourly"} & set(measures):
+        dated = F.col("_slot").isNotNull()
+        day = Window.partitionBy(entity, F.to_date("_slot"))
+        counts = {
+            "daily": F.when(dated, F.sum("_n").over(day)).alias(f"{entity}_daily_requests"),
+            "hourly": F.when(dated, F.col("_n")).alias(f"{entity}_hourly_requests"),
+        }
+        tables.insert(0, hourly.select(entity, "_slot", *[c for m, c in counts.items() if m in measures]))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.join(t, entity)
+    return out
+
+
+def add_entity_activity(df: DataFrame, entities: list[str] = ENTITIES, measures: tuple[str, ...] = MEASURES) -> DataFrame:
+    """The activity columns asked for of every entity, one join each; null entities get nulls."""
     log = df
     for entity in entities:
-        slots = entity_activity(log.select(entity, "date", "country"), entity).withColumnsRenamed({entity: "_entity", "_slot": "_at"})
-        rows = df.withColumn("_slot", F.date_trunc("hour", "date"))
-        match = (F.col(entity) == F.col("_entity")) & F.col("_slot").eqNullSafe(F.col("_at"))
-        df = rows.join(slots, match, "left").drop("_slot", "_entity", "_at")
+        found = entity_activity(log.select(entity, "date", "country"), entity, measures).withColumnRenamed(entity, "_entity")
+        if "_slot" in found.columns:
+            rows = df.withColumn("_slot", F.date_trunc("hour", "date"))
+            match = (F.col(entity) == F.col("_entity")) & F.col("_slot").eqNullSafe(F.col("_at"))
+            df = rows.join(found.withColumnRenamed("_slot", "_at"), match, "left").drop("_slot", "_entity", "_at")
+        else:
+            df = df.join(found, F.col(entity) == F.col("_entity"), "left").drop("_entity")
     return df
 
 
