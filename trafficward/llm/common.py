@@ -90,9 +90,9 @@ _POWERS: list[np.ndarray] = []
 
 
 def text_blocks(
-    batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 22
+    batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows of some MB of text at a time, with the bytes and where each text begins (null: empty).
+    """Rows of about 1 MB of text at a time, with the bytes and where each text begins (null: empty).
 
     A block ends at a row's end, so a longer text makes a block of its own.
     """
@@ -140,7 +140,7 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     if base != _BASE:
         return _powers(n, base)
     if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = _powers(max(n, 1 << 22), base)
+        _POWERS[:] = _powers(max(n, 1 << 20), base)
     return _POWERS[0][:n], _POWERS[1][:n]
 
 

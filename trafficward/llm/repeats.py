@@ -304,7 +304,7 @@ def _strip(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(strip, "tag long, n_removed long, kept string")
 
 
-def stripped(texts: DataFrame, window: int = 35, held: int = 1_000_000) -> DataFrame:
+def stripped(texts: DataFrame, window: int = 35, held: int = 500_000) -> DataFrame:
     """(tag, n_removed, kept) for each text that loses words, from (tag, text).
 
     A word is lost if it is in a window of `window` words that also starts anywhere else, in the
