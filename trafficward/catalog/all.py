@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     anomaly_queries,
     channel_queries,
     entity_queries,
+    job_queries,
     log_queries,
     report_queries,
     similarity_queries,

@@ -27,10 +27,10 @@ class Results:
 def score_log(df: DataFrame, approximate: bool = False, contamination: float = 0.1) -> Results:
     """Features → channel scores → similarity → anomalies → report tables.
 
-    The channel tables are written once to the shared folder: every later step reads them
-    instead of the log.
+    The cleaned log with its row features and the channel tables are written once to the shared
+    folder: scoring and all five anomaly families read them instead of the raw log.
     """
-    rows = row_features(clean(require_columns(df)))
+    rows = settle(row_features(clean(require_columns(df))))
     metrics = settle(channels.quality_metrics(rows))
     scores, scorer = quality.score_channels(metrics, approximate=approximate)
     scores = settle(scores)
