@@ -263,6 +263,7 @@ def _votes(chunks: DataFrame, top: np.ndarray, of: np.ndarray, counts: np.ndarra
             there = np.flatnonzero(follows & (cls >= 0))
             there = there[cls[there - 1] < 0]
             slots.append(numbers[there - 1] * (2 * classes) + classes + cls[there])
+            cls = follows = here = there = None
             slot, n = np.unique(np.concatenate(slots), return_counts=True)
             other = np.flatnonzero((class_of < 0) & (train > 0))
             # words without any neighbour in `top` stay with class 0's vote of weight 0
@@ -270,8 +271,8 @@ def _votes(chunks: DataFrame, top: np.ndarray, of: np.ndarray, counts: np.ndarra
             table = np.concatenate([ratio, ratio.T])
             owner = slot // (2 * classes)
             bounds = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-            for i in range(0, len(bounds), 1 << 14):
-                part = bounds[i : i + (1 << 14)]
+            for i in range(0, len(bounds), 1 << 10):
+                part = bounds[i : i + (1 << 10)]
                 stop = bounds[i + len(part)] if i + len(part) < len(bounds) else len(slot)
                 sums = np.add.reduceat(table[slot[part[0] : stop] % (2 * classes)] * n[part[0] : stop, None], part - part[0], axis=0)
                 best[owner[part]] = np.argmax(sums, axis=1)
