@@ -101,7 +101,16 @@ def _(t):
     return ev.drift(rows.where(first).select(*_DRIFT), rows.where(~first).select(*_DRIFT))
 
 
-@query("M08_drift_summary", "drift_score:f drift_detected:b")
+_FIRST = "(month = 1 AND day_of_month <= 15)"
+_SIZES = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, (count({c}) FILTER ({_FIRST}))::DOUBLE AS n, (count({c}) FILTER (NOT {_FIRST}))::DOUBLE AS m FROM hits" for c in _DRIFT
+)
+
+
+@query("M08_drift_summary", "drift_score:f drift_detected:b", f"""SELECT avg((p < 0.05)::INT) AS drift_score, avg((p < 0.05)::INT) > 0.1 AS drift_detected FROM (
+    SELECT feature, CASE WHEN any_value(x) < 0.2 THEN 1.0 ELSE least(greatest(sum(CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0::DOUBLE * k * k * x * x)), 0.0), 1.0) END AS p FROM (
+      SELECT feature, ks_statistic * sqrt(n * m / (n + m)) AS x FROM ({" UNION ALL ".join(map(_drift_sql, _DRIFT))}) JOIN ({_SIZES}) USING (feature)), range(1, 101) t(k)
+    GROUP BY feature)""")
 def _(t):
     first = (F.col("month") == 1) & (F.col("day_of_month") <= 15)
     return ev.drift_summary(ev.drift(t.rows.where(first).select(*_DRIFT), t.rows.where(~first).select(*_DRIFT)))
