@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -137,17 +138,24 @@ def validation(flags: DataFrame, known: DataFrame, key: str = "channelId", flag:
 
 
 def cross_validate(prepared: DataFrame, folds: int = 5, trees: int = 100, names: tuple[str, ...] = ("gbt_a", "gbt_b")) -> DataFrame:
-    """Mean and deviation of mse, mae and r2 over hashed folds, per regressor."""
+    """Mean and deviation of mse, mae and r2 over hashed folds, per regressor.
+
+    A fit is many small steps one after the other, so several fits run side by side.
+    """
     spark = prepared.sparkSession
     fold = F.floor(hash01(F.concat(F.lit("fold:"), F.col("channelId"))) * folds)
     data = compact(settle(prepared.where(F.col("original_label").isNotNull()).withColumn("fold", fold))).persist()
     rows = []
+
+    def held_out(name: str, i: int):
+        model = regressor(name, trees).fit(data.where(F.col("fold") != i))
+        return regression_errors(model.transform(data.where(F.col("fold") == i)), "original_label", name)
+
     try:
-        for name in names:
-            scores = []
-            for i in range(folds):
-                model = regressor(name, trees).fit(data.where(F.col("fold") != i))
-                scores.append(regression_errors(model.transform(data.where(F.col("fold") == i)), "original_label", name))
+        with ThreadPoolExecutor(max_workers=folds) as pool:
+            waiting = {name: [pool.submit(held_out, name, i) for i in range(folds)] for name in names}
+            found = {name: [f.result() for f in futures] for name, futures in waiting.items()}
+        for name, scores in found.items():
             summary = []
             for j in range(3):
                 values = [s[j] for s in scores]
