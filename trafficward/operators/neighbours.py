@@ -150,16 +150,17 @@ def compare_blocks(
 def _closest(k: int) -> Callable:
     def kernel(q: pd.DataFrame, s: pd.DataFrame, away: np.ndarray) -> pd.DataFrame:
         names, others = q.rep.to_numpy(), s.rep.to_numpy()
-        out_rep, out_other, out_gap = [], [], []
-        for i, name in enumerate(names):
-            row = np.where(others == name, np.inf, away[i])
-            limit = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
-            near = np.flatnonzero((row <= limit) & np.isfinite(row))
-            near = near[np.lexsort((others[near], row[near]))][:k]
-            out_rep.extend([name] * len(near))
-            out_other.extend(others[near])
-            out_gap.extend(row[near])
-        return pd.DataFrame({"rep": out_rep, "other": out_other, "distance": out_gap})
+        codes = np.unique(np.concatenate([names, others]), return_inverse=True)[1]
+        mine, theirs = codes[: len(names)], codes[len(names) :]
+        away = np.where(mine[:, None] == theirs[None, :], np.inf, away)
+        last = min(k, away.shape[1]) - 1
+        limit = np.partition(away, last, axis=1)[:, last]
+        rows, columns = np.nonzero((away <= limit[:, None]) & np.isfinite(away))
+        order = np.lexsort((theirs[columns], away[rows, columns], rows))
+        rows, columns = rows[order], columns[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        rows, columns = rows[kept], columns[kept]
+        return pd.DataFrame({"rep": names[rows], "other": others[columns], "distance": away[rows, columns]})
 
     return kernel
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
@@ -9,6 +11,8 @@ from .neighbours import nearest_neighbours
 
 CLASSES = [1, 2, 3, 4]
 
+log = logging.getLogger(__name__)
+
 
 def propagate(
     df: DataFrame,
@@ -48,6 +52,7 @@ def propagate(
             .select("id", "neighbour", (1.0 / F.sqrt(F.coalesce("deg", F.lit(1)) * F.col("to_deg"))).alias("w"))
         )
     edges = settle(edges)
+    moved = 0.0
     state = given.withColumns({f"c{c}": F.col(f"y{c}") for c in CLASSES})
     for _ in range(max_rounds):
         source = state.select(F.col("id").alias("neighbour"), *shares)
@@ -72,8 +77,11 @@ def propagate(
                 change.alias("_change"),
             )
         )
-        if (state.agg(F.sum("_change")).first()[0] or 0.0) < tolerance:
+        moved = state.agg(F.sum("_change")).first()[0] or 0.0
+        if moved < tolerance:
             break
+    else:
+        log.warning("labels still moved by %g after %d rounds", moved, max_rounds)
     best = F.greatest(*shares)
     choice = None
     for c in CLASSES:
