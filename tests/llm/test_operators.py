@@ -421,6 +421,59 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     assert sorted(few) == sorted(many)
 
 
+def alike(one: str, two: str) -> float:
+    a, b = (set(zip(*[t.split()[i:] for i in range(5)])) for t in (one, two))
+    return len(a & b) / len(a | b)
+
+
+def test_passages_replaced_and_tails_cut_are_near_copies(spark):
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(300)]
+    rows, wanted, low, high = [], [], 0, 0
+    for number in range(300):
+        words = [rng.choice(common) if rng.random() < 0.5 else f"v{rng.randrange(20000)}" for _ in range(rng.randint(60, 500))]
+        n = len(words) - 4
+        likeness = 0.76 + 0.11 * rng.random()
+        if number % 2:
+            copy = words[: round(n * likeness) + 4]
+        else:
+            size = max(1, round(n * (1 - likeness) / (1 + likeness)) - 4)
+            at = rng.randrange(1, len(words) - size)
+            copy = words[:at] + [rng.choice(common) for _ in range(size)] + words[at + size :]
+        one, two = " ".join(words), " ".join(copy)
+        near = alike(one, two) >= 0.8
+        low, high = low + (not near), high + near
+        rows += [(2 * number, one), (2 * number + 1, two)]
+        wanted += [2 * number] if near else [2 * number, 2 * number + 1]
+    assert low > 60 and high > 100
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.without_near_copies(df).collect()) == wanted
+
+
+def test_crowds_of_near_copies_connect_as_all_pairs_do(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for number in range(120):
+        words = list(base)
+        at, size = rng.randrange(110), rng.randint(1, 24)
+        words[at : at + size] = [f"x{number}.{i}" for i in range(size)]
+        rows.append((number, " ".join(words)))
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (_, a) in enumerate(rows):
+        for j in range(i):
+            if alike(a, rows[j][1]) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.without_near_copies(df).collect()) == sorted({find(i) for i in range(len(rows))})
+
+
 # ---------------------------------------------------------------- 6 quality
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
-from .common import SMALLEST, lower_ascii, mix, run_hashes, span_hashes, stored, text_blocks, text_tag, unused, word_spans
+from .common import SMALLEST, lower_ascii, run_hashes, span_hashes, stored, text_blocks, text_tag, unused, word_spans
 from .graph import components
 
 BITS = 64
@@ -132,134 +132,163 @@ def near_duplicates(
 
 # ---------------------------------------------------------------- near copies by the likeness of shingle sets
 
-#: Words of the verifying fingerprint, 64 bits each.
-VERIFY = 16
+#: Cells in which texts are counted per shingle, to put common shingles last.
+CELLS = 1 << 20
+_SLICE = 1 << 16
 
 
-#: For each byte, its bits as the eight bytes of a 64-bit number.
-_LANES = np.array([sum(1 << (8 * i) for i in range(8) if b >> i & 1) for b in range(256)], np.uint64)
+def _shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text of a block, and whose they are, in order of text and hash.
 
-
-def _majority(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit majority fingerprint for each of n texts from hashes in order of text.
-
-    Bits are counted in byte lanes over runs of at most 255 hashes, then summed per text.
+    A text of fewer words has one shingle, one without words none.
     """
-    if not len(hashes):
-        return np.zeros(n, np.uint64)
-    sizes = np.bincount(owner, minlength=n)
-    heads = np.flatnonzero((np.arange(len(hashes)) - (np.cumsum(sizes) - sizes)[owner]) % 255 == 0)
-    who = owner[heads]
-    first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
-    counts = np.zeros((n, BITS), np.int64)
-    octets = hashes.view(np.uint8).reshape(-1, 8)
-    for i in range(8):
-        lanes = np.add.reduceat(_LANES[octets[:, i]], heads).view(np.uint8).reshape(-1, 8)
-        counts[who[first], 8 * i : 8 * i + 8] = np.add.reduceat(lanes.astype(np.int64), first, axis=0)
-    return np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+    low, n = lower_ascii(data), len(at) - 1
+    starts, ends, text = word_spans(low, at)
+    words = span_hashes(low, starts, ends)
+    runs = run_hashes(words, width)
+    inside = text[width - 1 :] == text[: len(text) - width + 1] if len(words) >= width else np.zeros(0, bool)
+    shingles, owner = runs[inside], text[: len(runs)][inside]
+    count = np.bincount(text, minlength=n)
+    few = np.flatnonzero((count > 0) & (count < width))  # the whole sequence is one shingle
+    first = np.cumsum(count) - count
+    lone = np.array([run_hashes(words[first[i] : first[i] + count[i]], int(count[i]))[0] for i in few], np.uint64)
+    shingles, owner = np.concatenate([shingles, lone]), np.concatenate([owner, few])
+    order = np.lexsort((shingles, owner))
+    shingles, owner = shingles[order], owner[order]
+    fresh = np.ones(len(shingles), bool)
+    fresh[1:] = (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])
+    return shingles[fresh], owner[fresh]
+
+
+def _commonness(rows: DataFrame, width: int) -> np.ndarray:
+    """For each cell of shingles, the number of bits of the count of texts that have one of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for _, data, at in text_blocks(batches):
+            cells += np.bincount((_shingle_sets(data, at, width)[0] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        if cells.any():
+            for i in range(0, CELLS, _SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array([i // _SLICE]), pa.array([cells[i : i + _SLICE].tobytes()])], ["slice", "cells"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for name, cells in zip(batch.column("slice").to_pylist(), batch.column("cells")):
+                sums[name] = sums.get(name, 0) + np.frombuffer(cells.as_buffer(), np.int64)
+        for name, cells in sums.items():
+            bits = np.ceil(np.log2(cells + 1.0)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([bits.tobytes()])], ["slice", "bits"])
+
+    counted = rows.select("text").mapInArrow(count, "slice long, cells binary")
+    found = counted.repartition("slice").mapInArrow(add, "slice long, bits binary").collect()
+    out = np.zeros(CELLS, np.uint8)
+    for r in found:
+        out[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def _signatures(rows: DataFrame, width: int) -> DataFrame:
-    """(tag, least, blocks, verify): a majority fingerprint of words, and one of 1024 bits of shingles."""
+    """(tag, least, n, prefix, text): the number of distinct shingles and the first of them, common ones last.
+
+    Two sets with a likeness of 0.8 share at least 4/5 of either, so one of the first n - ceil(4n/5) + 1
+    of both, whatever order all texts go by. A text without words has the shingle 0 for a prefix.
+    """
+    common = rows.sparkSession.sparkContext.broadcast(_commonness(rows, width))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, at in text_blocks(batches):
-            low, n = lower_ascii(data), len(at) - 1
-            starts, ends, text = word_spans(low, at)
-            words = span_hashes(low, starts, ends)
-            runs = run_hashes(words, width)
-            inside = text[width - 1 :] == text[: len(text) - width + 1] if len(words) >= width else np.zeros(0, bool)
-            shingles, owner = runs[inside], text[: len(runs)][inside]
-            count = np.bincount(text, minlength=n)
-            few = np.flatnonzero((count > 0) & (count < width))  # the whole sequence is one shingle
-            first = np.cumsum(count) - count
-            lone = np.array([run_hashes(words[first[i] : first[i] + count[i]], int(count[i]))[0] for i in few], np.uint64)
-            shingles, owner = np.concatenate([shingles, lone]), np.concatenate([owner, few])
-            order = np.argsort(owner, kind="stable")
-            shingles, owner = shingles[order], owner[order]
-            verify = [_majority(mix(shingles + np.uint64(i)), owner, n) for i in range(VERIFY)]
-            columns = [_majority(words, text, n).view(np.int64), np.stack(verify, axis=1)]
-            content = [v.tobytes() for v in columns[1]]
-            yield pa.RecordBatch.from_arrays([block.column("tag"), block.column("key"), pa.array(columns[0]), pa.array(content)], ["tag", "key", "blocks", "verify"])
-
-    signed = rows.mapInArrow(sign, "tag long, key long, blocks long, verify binary")
-    return signed.groupBy("tag").agg(F.min("key").alias("least"), F.first("blocks").alias("blocks"), F.first("verify").alias("verify"))
-
-
-def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what a symmetric adjacency matrix connects: a star per component."""
-    left, out = np.ones(len(near), bool), []
-    for seed in range(len(near)):
-        if not left[seed]:
-            continue
-        member = np.zeros(len(near), bool)
-        member[seed] = True
-        edge = member
-        while edge.any():
-            grown = near[edge].any(axis=0) & ~member
-            member |= grown
-            edge = grown
-        left &= ~member
-        out.extend((seed, int(i)) for i in np.flatnonzero(member) if i != seed)
-    return out
-
-
-def similar_links(nodes: DataFrame, distance: int = 5, blocks: int = 8, verify_bits: int = 166, crowd: int = 1024) -> DataFrame:
-    """Links (a, b) of tags that connect all pairs within `verify_bits` that meet.
+            shingles, owner = _shingle_sets(data, at, width)
+            n = np.bincount(owner, minlength=len(at) - 1)
+            order = np.lexsort((shingles, common.value[(shingles % np.uint64(CELLS)).astype(np.int64)], owner))
+            keep = n - (4 * n + 4) // 5 + 1
+            place = np.arange(len(shingles)) - (np.cumsum(n) - n)[owner]
+            few = shingles[order][place < keep[owner]]
+            where = np.cumsum(np.where(n > 0, keep, 1))
+            tokens = np.zeros(int(where[-1]), np.uint64)
+            tokens[np.repeat(n > 0, np.where(n > 0, keep, 1))] = few
+            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, where).astype(np.int32)), pa.array(tokens.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [block.column("tag"), block.column("key"), pa.array(n.astype(np.int32)), prefix, block.column("text")], ["tag", "key", "n", "prefix", "text"]
+            )
+
+    signed = rows.select("tag", "key", "text").mapInArrow(sign, "tag long, key long, n int, prefix array<long>, text string")
+    return signed.groupBy("tag").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "text")])
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of shingles have a likeness of 0.8 or more, by the sets themselves."""
+    pairs = stored(pairs, "near-pairs")
+    asked = pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct()
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data, at in text_blocks(batches):
+            shingles, owner = _shingle_sets(data, at, width)
+            cut = np.searchsorted(owner, np.arange(len(at))).tolist()
+            found = [shingles[i:j].tobytes() for i, j in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([block.column("tag"), pa.array(found, pa.binary())], ["tag", "shingles"])
 
-    Nodes meet where all but `distance` of the `blocks` of their word fingerprints are equal, so
-    certainly where at most `distance` bits differ, and mostly where a few more do. There they are
-    compared in their shingle fingerprints. Where more than `crowd` nodes meet, they are cut into
-    parts, and each two parts are compared in a task of their own, so no task holds more than
-    two parts; what leaves a task is a star per component, never all pairs.
-    """
-    step = BITS // blocks
-    masks = [((1 << (step if i < blocks - 1 else BITS - step * i)) - 1) << (step * i) for i in range(blocks)]
-    rests = [_signed(sum(masks) ^ sum(masks[i] for i in free)) for free in combinations(range(blocks), distance)]
-    choice = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("blocks").bitwiseAND(F.lit(r)).alias("rest")) for i, r in enumerate(rests)])
-    keyed = nodes.select("tag", F.explode(choice).alias("k")).select("tag", "k.choice", "k.rest")
-    sizes = keyed.groupBy("choice", "rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = keyed.join(sizes, ["choice", "rest"]).withColumn("parts", F.ceil(F.col("n") / crowd).cast("int"))
-    mine = F.pmod(F.xxhash64("tag"), F.col("parts")).cast("int")
-    shared = shared.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    shared = shared.withColumn("one", F.least("mine", "other")).withColumn("two", F.greatest("mine", "other"))
-    full = shared.select("tag", "choice", "rest", "one", "two").join(nodes.select("tag", "verify"), "tag")
-    group = ["choice", "rest", "one", "two"]
-
-    def compare(held: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
-        wide = np.frombuffer(b"".join(v for _, v in held), np.uint64).reshape(len(held), VERIFY)
-        away = np.zeros((len(held), len(held)), np.uint16)
-        for i in range(VERIFY):
-            away += np.bitwise_count(wide[:, None, i] ^ wide[None, :, i])
-        return [(held[i][0], held[j][0]) for i, j in _spanning(away <= verify_bits)]
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            columns = [batch.column(c).to_pylist() for c in (*group, "tag", "verify")]
-            for *key, tag, verify in zip(*columns):
-                if key != now:
-                    if len(held) > 1:
-                        found += compare(held)
-                    now, held = key, []
-                held.append((tag, verify))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-        if len(held) > 1 and (found := compare(held)):
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-    dealt = full.repartition(*group).sortWithinPartitions(*group, "tag")
-    return dealt.mapInArrow(link, "a long, b long")
+            close = []
+            for one, two in zip(batch.column("one"), batch.column("two")):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (one, two))
+                both = np.sort(np.concatenate([x, y]), kind="stable")  # two sorted runs
+                close.append(9 * int(np.count_nonzero(both[1:] == both[:-1])) >= 4 * len(both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(close, pa.bool_()))
+
+    sets = stored(texts.join(asked, "tag", "left_semi").select("tag", "text").mapInArrow(collect, "tag long, shingles binary"), "near-sets")
+    full = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
+    return stored(full.select("a", "b", "one", "two").mapInArrow(check, "a long, b long"), "near-links")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame | None = None, width: int = 5, crowd: int = 16) -> DataFrame:
+    """Links (a, b) of tags that connect all pairs of texts whose shingle sets have a likeness of 0.8 or more.
+
+    Such a pair shares a shingle of both prefixes, so no pair is missed; each link is confirmed by
+    the sets. Texts that share a shingle are compared pair by pair, up to `crowd` of them. Of a
+    larger crowd each is first compared with one text, another one each round, while a tenth of these
+    comparisons still links; what is then left unconnected is compared pair by pair. `texts` has
+    (tag, text), once for each tag; without it, `nodes` has.
+    """
+    texts = nodes.select("tag", "text") if texts is None else texts
+    keyed = nodes.select("tag", "n", F.explode("prefix").alias("token"))
+    sizes = keyed.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = stored(keyed.join(sizes, "token"), "shared-shingles")
+    fits = (F.least("n", "n2") * 5 >= F.greatest("n", "n2") * 4)
+
+    def paired(rows: DataFrame, apart) -> DataFrame:
+        other = rows.toDF(*[c if c == "token" else f"{c}2" for c in rows.columns])
+        found = rows.join(other, "token").where((F.col("tag") < F.col("tag2")) & fits & apart)
+        return found.select(F.col("tag").alias("a"), F.col("tag2").alias("b")).distinct()
+
+    links = _alike(paired(shared.where(F.col("m") <= crowd).select("token", "tag", "n"), F.lit(True)), texts, width)
+    crowded = shared.where(F.col("m") > crowd).select("token", "tag", "n")
+    turn = 0
+    while not crowded.isEmpty():
+        roots = components(links).toDF("tag", "root")
+        rooted = crowded.join(roots, "tag", "left").select("token", "tag", "n", F.coalesce("root", "tag").alias("root"))
+        mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("tag", F.lit(turn)).alias("h"), "tag", "n", "root")).alias("s"))
+        rooted = stored(rooted.join(mixed.where("low < high").select("token", "s"), "token"), "crowded-shingles")
+        star = rooted.where(F.col("root") != F.col("s.root")).withColumn("n2", F.col("s.n")).where(fits)
+        star = star.select(F.least("tag", "s.tag").alias("a"), F.greatest("tag", "s.tag").alias("b")).distinct()
+        star = stored(star, "near-stars")
+        tried = star.count()
+        found = _alike(star, texts, width)
+        gained = found.count()
+        links, turn = links.unionByName(found), turn + 1
+        if 10 * gained < tried or not tried:
+            rest = rooted.select("token", "tag", "n", "root")
+            return links.unionByName(_alike(paired(rest, F.col("root") != F.col("root2")), texts, width))
+        crowded = rooted.select("token", "tag", "n")
+    return links
 
 
 def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """`df`, all columns, with one row of each group of near copies: the one with the smallest id.
 
-    Near copies are linked where they share three of the eight blocks of the SimHash of their words
-    (sure if at most 5 of 64 bits differ, likely at some more) and the SimHash
-    of their shingles of `width` words differs in at most 166 of 1024 bits: for a likeness of 0.8 (shared over
-    all shingles) 155 differ on average, with a deviation of 11. Groups are all that links reach.
+    Near copies are linked where the sets of their shingles of `width` words have a likeness (shared over
+    all) of 0.8 or more, told by the sets; shingles are 64-bit hashes. Groups are all that links reach.
     Equal texts are one node; null texts are empty, and all texts without words are one
     group. Null ids come first; of rows equal in id and text one stays.
     """
@@ -267,8 +296,9 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text",
     smallest = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(SMALLEST).cast("long"))
     full = df.withColumn(tag, text_tag(text)).withColumn(order, smallest)
     texts = full.select(F.col(tag).alias("tag"), F.col(order).alias("key"), F.col(f"`{text}`").alias("text"))
-    nodes = stored(_signatures(texts, width), "signatures")
-    roots = components(stored(similar_links(nodes), "near-links"))
+    nodes = stored(_signatures(texts, width).drop("text"), "signatures")
+    single = texts.join(nodes.select("tag", F.col("least").alias("key")), ["tag", "key"], "left_semi").dropDuplicates(["tag", "key"])
+    roots = components(similar_links(nodes, single.select("tag", "text"), width))
     rooted = nodes.join(roots.withColumnRenamed("node", "tag"), "tag", "left").select("tag", "least", F.coalesce("root", "tag").alias("root"))
     stay = rooted.groupBy("root").agg(F.min(F.struct("least", "tag")).alias("s"))
     stay = stay.select(F.col("s.least").alias(order), F.col("s.tag").alias(tag))
