@@ -474,6 +474,20 @@ def test_crowds_of_near_copies_connect_as_all_pairs_do(spark):
     assert sorted(r.doc_id for r in simhash.without_near_copies(df).collect()) == sorted({find(i) for i in range(len(rows))})
 
 
+def test_a_line_repeated_within_texts_makes_no_near_copies(spark):
+    rng = random.Random(3)
+    line = " ".join(f"licence{i}" for i in range(12))
+    rows = []
+    for number in range(40):
+        parts = []
+        for _ in range(rng.randint(16, 25)):
+            parts += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(13, 20))), line]
+        rows.append((number, "\n".join(parts)))
+    assert max(alike(a, b) for (_, a), (_, b) in zip(rows, rows[1:])) < 0.05
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.without_near_copies(df).count() == len(rows)
+
+
 # ---------------------------------------------------------------- 6 quality
 
 

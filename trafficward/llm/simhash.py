@@ -216,10 +216,9 @@ def _signatures(rows: DataFrame, width: int) -> DataFrame:
     return signed.groupBy("tag").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "text")])
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of shingles have a likeness of 0.8 or more, by the sets themselves."""
-    pairs = stored(pairs, "near-pairs")
-    asked = pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct()
+def _sets(asked: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(tag, shingles): the sets of the texts asked for by tag."""
+    on = ["tag", "key"] if "key" in texts.columns else ["tag"]
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, at in text_blocks(batches):
@@ -228,6 +227,13 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             found = [shingles[i:j].tobytes() for i, j in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([block.column("tag"), pa.array(found, pa.binary())], ["tag", "shingles"])
 
+    found = texts.join(asked, on, "left_semi").dropDuplicates(on).select("tag", "text")
+    return stored(found.mapInArrow(collect, "tag long, shingles binary"), "near-sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a likeness of 0.8 or more."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             close = []
@@ -237,51 +243,87 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 close.append(9 * int(np.count_nonzero(both[1:] == both[:-1])) >= 4 * len(both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(close, pa.bool_()))
 
-    sets = stored(texts.join(asked, "tag", "left_semi").select("tag", "text").mapInArrow(collect, "tag long, shingles binary"), "near-sets")
-    full = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
+    full = pairs.select("a", "b").join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
     return stored(full.select("a", "b", "one", "two").mapInArrow(check, "a long, b long"), "near-links")
 
 
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(token, tag) of the shingles that stand in more than one prefix: one pass over rows sorted by shingle."""
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, told = None, True  # the row before, and whether it was given
+        for batch in batches:
+            token, tag = (batch.column(c).to_numpy() for c in ("token", "tag"))
+            if not len(token):
+                continue
+            if last is not None:
+                token, tag = np.append(last[0], token), np.append(last[1], tag)
+            same = token[1:] == token[:-1]
+            keep = np.append(False, same) | np.append(same, False)
+            if last is not None and told:
+                keep[0] = False
+            last, told = (token[-1], tag[-1]), bool(keep[-1]) or (len(token) == 1 and last is not None and told)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(tag[keep])], ["token", "tag"])
+
+    rows = nodes.select(F.explode("prefix").alias("token"), "tag").repartition("token").sortWithinPartitions("token")
+    return stored(rows.mapInArrow(several, "token long, tag long"), "shared-shingles")
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame | None = None, width: int = 5, crowd: int = 16) -> DataFrame:
     """Links (a, b) of tags that connect all pairs of texts whose shingle sets have a likeness of 0.8 or more.
 
     Such a pair shares a shingle of both prefixes, so no pair is missed; each link is confirmed by
     the sets. Texts that share a shingle are compared pair by pair, up to `crowd` of them. Of a
     larger crowd each is first compared with one text, another one each round, while a tenth of these
-    comparisons still links; what is then left unconnected is compared pair by pair. `texts` has
-    (tag, text), once for each tag; without it, `nodes` has.
+    comparisons still links; what is then left unconnected is compared pair by pair. A pair is dropped
+    unread if the shingles that it can share, in the prefixes and behind the one that ends first, are too
+    few. `texts` has (tag, key, text); without it, `nodes` has the texts.
     """
     texts = nodes.select("tag", "text") if texts is None else texts
-    keyed = nodes.select("tag", "n", F.explode("prefix").alias("token"))
-    sizes = keyed.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = stored(keyed.join(sizes, "token"), "shared-shingles")
-    fits = (F.least("n", "n2") * 5 >= F.greatest("n", "n2") * 4)
-
-    def paired(rows: DataFrame, apart) -> DataFrame:
-        other = rows.toDF(*[c if c == "token" else f"{c}2" for c in rows.columns])
+    named = nodes.select("tag", F.col("least").alias("key"))
+    shared = _shared(nodes)
+    sizes = shared.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    sized = shared.join(sizes, "token").join(nodes.select("tag", "n"), "tag")
+    of_tag = sized.groupBy("tag").agg(F.count_if(F.col("m") <= crowd).alias("light"), F.count_if(F.col("m") > crowd).alias("heavy"))
+    sized = stored(sized.join(of_tag, "tag"), "sized-shingles")
+    fits = F.least("n", "n2") * 5 >= F.greatest("n", "n2") * 4
+
+    def paired(rows: DataFrame, others: str, apart: Column) -> DataFrame:
+        """`others`: the number of a text's shared shingles that `rows` do not have."""
+        rows = rows.withColumn("others", F.col(others)).select("token", "tag", "n", "others", "root")
+        other = rows.toDF("token", "tag2", "n2", "others2", "root2")
         found = rows.join(other, "token").where((F.col("tag") < F.col("tag2")) & fits & apart)
-        return found.select(F.col("tag").alias("a"), F.col("tag2").alias("b")).distinct()
-
-    links = _alike(paired(shared.where(F.col("m") <= crowd).select("token", "tag", "n"), F.lit(True)), texts, width)
-    crowded = shared.where(F.col("m") > crowd).select("token", "tag", "n")
+        most = F.greatest("n", "n2")
+        behind = F.greatest(F.floor((4 * most + 4) / 5) - 1, F.lit(0))
+        found = found.groupBy("tag", "tag2", "n", "n2").agg((F.count(F.lit(1)) + F.first(F.least("others", "others2"))).alias("k"))
+        found = found.where((F.col("k") + behind) * 9 >= (F.col("n") + F.col("n2")) * 4)
+        return stored(found.select(F.col("tag").alias("a"), F.col("tag2").alias("b")), "near-pairs")
+
+    def both(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct()
+
+    pairs = paired(sized.where(F.col("m") <= crowd).withColumn("root", F.col("tag")), "heavy", F.lit(True))
+    links = _alike(pairs, _sets(both(pairs).join(named, "tag"), texts, width))
+    crowded = sized.where(F.col("m") > crowd).select("token", "tag", "n", "light")
+    if crowded.isEmpty():
+        return links
+    sets = _sets(crowded.select("tag").distinct().join(named, "tag"), texts, width)
     turn = 0
-    while not crowded.isEmpty():
+    while True:
         roots = components(links).toDF("tag", "root")
-        rooted = crowded.join(roots, "tag", "left").select("token", "tag", "n", F.coalesce("root", "tag").alias("root"))
-        mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("tag", F.lit(turn)).alias("h"), "tag", "n", "root")).alias("s"))
+        rooted = crowded.join(roots, "tag", "left").select("token", "tag", "n", "light", F.coalesce("root", "tag").alias("root"))
+        one = F.min(F.struct(F.xxhash64("tag", F.lit(turn)).alias("h"), "tag", "n", "root")).alias("s")
+        mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), one)
         rooted = stored(rooted.join(mixed.where("low < high").select("token", "s"), "token"), "crowded-shingles")
         star = rooted.where(F.col("root") != F.col("s.root")).withColumn("n2", F.col("s.n")).where(fits)
-        star = star.select(F.least("tag", "s.tag").alias("a"), F.greatest("tag", "s.tag").alias("b")).distinct()
-        star = stored(star, "near-stars")
+        star = stored(star.select(F.least("tag", "s.tag").alias("a"), F.greatest("tag", "s.tag").alias("b")).distinct(), "near-stars")
         tried = star.count()
-        found = _alike(star, texts, width)
-        gained = found.count()
+        found = _alike(star, sets)
         links, turn = links.unionByName(found), turn + 1
-        if 10 * gained < tried or not tried:
-            rest = rooted.select("token", "tag", "n", "root")
-            return links.unionByName(_alike(paired(rest, F.col("root") != F.col("root2")), texts, width))
-        crowded = rooted.select("token", "tag", "n")
-    return links
+        if not tried or 10 * found.count() < tried:
+            return links.unionByName(_alike(paired(rooted, "light", F.col("root") != F.col("root2")), sets))
+        crowded = rooted.select("token", "tag", "n", "light")
 
 
 def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
@@ -297,8 +339,7 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text",
     full = df.withColumn(tag, text_tag(text)).withColumn(order, smallest)
     texts = full.select(F.col(tag).alias("tag"), F.col(order).alias("key"), F.col(f"`{text}`").alias("text"))
     nodes = stored(_signatures(texts, width).drop("text"), "signatures")
-    single = texts.join(nodes.select("tag", F.col("least").alias("key")), ["tag", "key"], "left_semi").dropDuplicates(["tag", "key"])
-    roots = components(similar_links(nodes, single.select("tag", "text"), width))
+    roots = components(similar_links(nodes, texts, width))
     rooted = nodes.join(roots.withColumnRenamed("node", "tag"), "tag", "left").select("tag", "least", F.coalesce("root", "tag").alias("root"))
     stay = rooted.groupBy("root").agg(F.min(F.struct("least", "tag")).alias("s"))
     stay = stay.select(F.col("s.least").alias(order), F.col("s.tag").alias(tag))
