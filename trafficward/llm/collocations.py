@@ -27,7 +27,7 @@ _END = np.zeros(256, bool)
 _END[0x0A:0x0E] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 14  # a block of the sketch is 2**14 cells
-_TABLE = 4 << 20  # bytes of text that are worked on at once
+_TABLE = 2 << 20  # bytes of text that are worked on at once
 
 
 class _Words:
@@ -86,33 +86,28 @@ class _Filter:
         return (hit != 0) & (words.reach >= m)
 
 
-def _sketch(docs: DataFrame, known: _Filter, lengths: list[int], least: int, longest: int) -> _Filter:
-    """The filter with maps for further `lengths`: a cell is set when its grams together reach `least`.
+def _sketch(docs: DataFrame, known: _Filter, m: int, least: int, longest: int) -> _Filter:
+    """The filter with one more map, for grams of `m` words: a cell is set when its grams together reach `least`.
 
     A task hands on the cells it met with their counts; the sums of a block of cells meet in one
     task, and a bit per cell reaches the driver. A gram is counted only where its parts of one
     word less may be frequent, if these are known; so no gram of `least` occurrences is missed.
     """
     dtype = np.uint16 if least < 1 << 16 else np.uint32
-    limit = np.iinfo(dtype).max
     bits = known.bits
     shared = docs.sparkSession.sparkContext.broadcast(known.maps)
 
-    def rows_of(cells: np.ndarray, counts: np.ndarray, m: int) -> pa.RecordBatch:
+    def rows_of(cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         blocks, at = np.unique(cells >> _BLOCK, return_index=True)
-        edges = np.append(at, len(cells))
+        spans = list(zip(at.tolist(), np.append(at[1:], len(cells)).tolist()))
         inside = (cells & ((1 << _BLOCK) - 1)).astype(np.uint16)
-        counts = np.minimum(counts, limit).astype(dtype)
-        spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(blocks), m, np.int32)),
-                pa.array(blocks.astype(np.int32)),
-                pa.array([inside[a:b].tobytes() for a, b in spans], pa.binary()),
-                pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary()),
-            ],
-            ["m", "block", "cells", "counts"],
-        )
+        counts = np.minimum(counts, np.iinfo(dtype).max).astype(dtype)
+        columns = [
+            pa.array(blocks.astype(np.int32)),
+            pa.array([inside[a:b].tobytes() for a, b in spans], pa.binary()),
+            pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["block", "cells", "counts"])
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         cells = np.concatenate([p[0] for p in parts])
@@ -124,69 +119,60 @@ def _sketch(docs: DataFrame, known: _Filter, lengths: list[int], least: int, lon
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = _Filter(bits, shared.value)
-        held = {m: [] for m in lengths}
-        size = dict.fromkeys(lengths, 0)
+        held, size = [], 0
         for words in _blocks(batches, longest):
-            for m in lengths:
-                if m - 1 in have.maps:
-                    part = have.may(words, m - 1)
-                    start = (words.reach >= m) & part
-                    start[:-1] &= part[1:]
-                else:
-                    start = words.reach >= m
-                cells, counts = np.unique(have.cells(words.grams(m)[start]), return_counts=True)
-                if not len(cells):
-                    continue
-                held[m].append((cells.astype(np.int32), counts.astype(np.int64)))
-                size[m] += len(cells)
-                if size[m] > 3_000_000:
-                    one = merged(held[m])
-                    held[m], size[m] = [one], len(one[0])
-                    if size[m] > 1_500_000:
-                        yield rows_of(*one, m)
-                        held[m], size[m] = [], 0
-        for m in lengths:
-            if held[m]:
-                yield rows_of(*merged(held[m]), m)
+            start = words.reach >= m
+            if m - 1 in have.maps:
+                part = have.may(words, m - 1)
+                start &= part
+                start[:-1] &= part[1:]
+            cells, counts = np.unique(have.cells(words.grams(m)[start]), return_counts=True)
+            if len(cells):
+                held.append((cells.astype(np.int32), counts.astype(np.int64)))
+                size += len(cells)
+            if size > 3_000_000:
+                one = merged(held)
+                held, size = [one], len(one[0])
+                if size > 1_500_000:
+                    yield rows_of(*one)
+                    held, size = [], 0
+        if held:
+            yield rows_of(*merged(held))
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, np.zeros(1 << _BLOCK, np.int64)
 
         def done() -> pa.RecordBatch:
             flags = np.packbits(total >= least, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([flags], pa.binary())], ["m", "block", "flags"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([flags], pa.binary())], ["block", "flags"])
 
         for batch in batches:
-            for m, block, cells, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if (m, block) != at:
+            for block, cells, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if block != at:
                     if at is not None:
                         yield done()
-                    at = (m, block)
+                    at = block
                     total[:] = 0
                 total[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, dtype)
         if at is not None:
             yield done()
 
-    counted = docs.mapInArrow(count, "m int, block int, cells binary, counts binary")
-    dealt = counted.repartition(parts_of(docs.sparkSession), "m", "block").sortWithinPartitions("m", "block")
-    maps = dict(known.maps)
-    for m in lengths:
-        maps[m] = np.zeros(1 << max(bits - 3, 0), np.uint8)
-    # at most 2**(bits - 14) rows of 2 kB for each length, whatever the input
-    for r in dealt.mapInArrow(reach, "m int, block int, flags binary").toLocalIterator():
+    counted = docs.mapInArrow(count, "block int, cells binary, counts binary")
+    dealt = counted.repartition(parts_of(docs.sparkSession), "block").sortWithinPartitions("block")
+    map_ = np.zeros(1 << (bits - 3), np.uint8)
+    # at most 2**(bits - 14) rows of 2 kB, whatever the input
+    for r in dealt.mapInArrow(reach, "block int, flags binary").toLocalIterator():
         flags = np.frombuffer(r["flags"], np.uint8)
-        maps[r["m"]][r["block"] << (_BLOCK - 3) :][: len(flags)] = flags
-    return _Filter(bits, maps)
+        map_[r["block"] << (_BLOCK - 3) :][: len(flags)] = flags
+    return _Filter(bits, known.maps | {m: map_})
 
 
 def _starts(docs: DataFrame, known: _Filter, longest: int) -> DataFrame:
     """(lang, words, phrase, n): the longest gram from each word on that may be frequent, counted per task.
 
     A gram of `longest` words is an edge. A shorter one is a piece's end, or stands where every
-    longer gram is rare; it corrects the flow of its node. Words that are rare give no row. Rows of
-    zero words hold the number of all words.
+    longer gram is rare; it corrects the flow of its node. Rows of zero words hold the number of
+    all words.
     """
     bits = known.bits
     shared = docs.sparkSession.sparkContext.broadcast(known.maps)
@@ -206,11 +192,9 @@ def _starts(docs: DataFrame, known: _Filter, longest: int) -> DataFrame:
                 continue
             for row, n in zip(*(x.tolist() for x in np.unique(words.row, return_counts=True))):
                 totals[words.langs[row]] = totals.get(words.langs[row], 0) + n
-            length = have.may(words, 1).astype(np.int8)
-            on = length > 0
-            if longest >= 2:
-                on &= have.may(words, 2)
-                length += on
+            length = np.ones(len(words.starts), np.int8)
+            on = have.may(words, 2)
+            length += on
             if longest >= 3:
                 triple = have.may(words, 3)
                 for shift in range(longest - 2):
@@ -229,7 +213,7 @@ def _starts(docs: DataFrame, known: _Filter, longest: int) -> DataFrame:
                         continue
                     spans = zip(words.starts[i : i + m].tolist(), words.ends[i : i + m].tolist())
                     held[gram] = [words.langs[words.row[i]], m, b" ".join(words.content[a:b] for a, b in spans), n]
-            if len(held) > 300_000:
+            if len(held) > 250_000:
                 yield rows_of(held)
                 held = {}
         if held:
@@ -258,8 +242,8 @@ def phrase_graph(
 
     Edges are aggregated first: grams of `longest` words, and shorter ones where a piece ends. A
     filter of fixed size cuts edges where they certainly pass a node of fewer than `least`
-    occurrences (sums over cells of one, two and three words, never too small); the count of what
-    is left of an edge goes to its last frequent node, so all counts of frequent phrases are exact. On
+    occurrences (sums over cells of two and three words, never too small); the count of what is
+    left of an edge goes to its last frequent node, so all counts of frequent phrases are exact. On
     far more text than the filter has cells (some 50 GB at 2**27) it cuts less, and the shuffle of
     edges grows to some ten times the text; results stay the same. `bits` sets the cells.
     """
@@ -269,9 +253,9 @@ def phrase_graph(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")
     )
     known = _Filter(min(_bits(docs) if bits is None else max(bits, _BLOCK), 31), {})
-    known = _sketch(docs, known, [1, 2], least, longest)
+    known = _sketch(docs, known, 2, least, longest)
     if longest >= 3:
-        known = _sketch(docs, known, [3], least, longest)
+        known = _sketch(docs, known, 3, least, longest)
     edges = stored(
         _starts(docs, known, longest).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")), "phrase-edges"
     )
