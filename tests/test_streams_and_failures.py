@@ -42,7 +42,7 @@ def test_gaps_do_not_depend_on_batches(spark, tmp_path, requests, ttl):
         gap = int((at - last[ip]).total_seconds()) if ip in last else 0
         wanted.append((i, gap if ttl is None or gap <= ttl else 0))
         last[ip] = at
-    for batches in (1, 4):
+    for batches in (1, 3, 10):
         path = str(tmp_path / f"gaps{batches}")
         live.write_gaps(stream(spark, tmp_path, requests, batches), path, f"{path}/log", ttl_seconds=ttl).awaitTermination()
         got = sorted((r[TIE], r.ip_time_gap) for r in spark.read.parquet(f"{path}/gaps").collect())
@@ -56,12 +56,39 @@ def test_repeats_do_not_depend_on_batches(spark, tmp_path, requests):
             wanted.append(i)
         last[ip, device] = at
     assert 0 < len(wanted) < len(requests)
-    for batches in (1, 4):
+    for batches in (1, 3, 10):
         path = str(tmp_path / f"fresh{batches}")
         live.write_fresh(stream(spark, tmp_path, requests, batches), ["ip", "device"], path, f"{path}/log").awaitTermination()
         assert sorted(r[TIE] for r in spark.read.parquet(f"{path}/fresh").collect()) == wanted
 
 
+def test_silent_keys_are_forgotten_and_orphans_are_firsts(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(hours=i), f"10.0.0.{i}", "a") for i in range(12)]
+    rows += [(20 + i, start + dt.timedelta(hours=11, seconds=i + 1), None if i % 2 else "10.0.0.11", "a") for i in range(6)]
+    path = str(tmp_path / "silent")
+    query = live.write_gaps(stream(spark, tmp_path, rows, 9), path, f"{path}/log", ttl_seconds=60)
+    query.awaitTermination()
+    got = {r[TIE]: r.ip_time_gap for r in spark.read.parquet(f"{path}/gaps").collect()}
+    assert got == {i: 0 for i in range(12)} | {20: 1, 21: 0, 22: 2, 23: 0, 24: 2, 25: 0}
+    state = query.lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] < 8  # twelve addresses came by, only the last ones and their timers remain
+
+
+def test_counts_hold_open_windows_and_do_not_depend_on_batches(spark, tmp_path, requests):
+    wanted = {}
+    for _, at, ip, _ in requests:
+        for back in range(5):
+            slot = at.replace(second=0) - dt.timedelta(minutes=back)
+            wanted[slot, ip] = wanted.get((slot, ip), 0) + 1
+    wanted = {k: n for k, n in wanted.items() if n >= 2}
+    for batches in (1, 3, 10):
+        path = str(tmp_path / f"counts{batches}")
+        live.write_counts(live.ip_bursts(stream(spark, tmp_path, requests, batches), 2), f"{path}/out", f"{path}/log").awaitTermination()
+        got = live.read_counts(spark, f"{path}/out", ["slot", "ip"]).collect()
+        assert {(r.slot, r.ip): r.requests for r in got} == wanted and len(got) == len(wanted)
+
+
 def test_a_failing_family_is_null_and_named(spark, monkeypatch):
     ok = spark.createDataFrame([("a", True), ("b", False)], "channelId string, flag boolean")
     names = {family: flags for family, (_, flags) in anomaly.CANONICAL.items()}

@@ -30,20 +30,17 @@ def _sliced(t, slices: int = 3):
     return events_as_traffic(live.read_files(t.spark, folder, events.schema, files_per_batch=1))
 
 
-def _collected(t, stream, name: str):
+def _counts(t, stream, name: str, keys: list[str]):
     path = new_folder(t.spark, name)
-    live.to_parquet(stream, f"{path}/out", f"{path}/log").awaitTermination()
-    return t.spark.read.parquet(f"{path}/out")
-
-
-_LAST = "(SELECT max(date) - INTERVAL 1 HOUR FROM traffic)"
+    live.write_counts(stream, f"{path}/out", f"{path}/log").awaitTermination()
+    return live.read_counts(t.spark, f"{path}/out", keys)
 
 
-@query("P01_channel_metrics", "slot:s channelId:s requests:i bots:i datacenter:i high_risk:i", f"""SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS slot, * FROM (SELECT date_trunc('hour', date) AS h, channelId, count(*) AS requests, sum(isLikelyBot::INT) AS bots,
+@query("P01_channel_metrics", "slot:s channelId:s requests:i bots:i datacenter:i high_risk:i", """SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS slot, * FROM (SELECT date_trunc('hour', date) AS h, channelId, count(*) AS requests, sum(isLikelyBot::INT) AS bots,
     sum(isIpDatacenter::INT) AS datacenter, sum((isIpDatacenter::INT + isIpAnonymous::INT + isIpCrawler::INT + isIpPublicProxy::INT + coalesce(isIpVPN, false)::INT + isIpTOR::INT + isIpResidentialProxy::INT >= 2)::INT) AS high_risk
-    FROM traffic GROUP BY ALL) WHERE h + INTERVAL 1 HOUR <= {_LAST}""")
+    FROM traffic GROUP BY ALL)""")
 def _(t):
-    found = _collected(t, live.channel_metrics(_stream(t)), "metrics-stream")
+    found = _counts(t, live.channel_metrics(_sliced(t)), "metrics-stream", ["slot", "channelId"])
     return found.withColumn("slot", F.date_format("slot", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -63,10 +60,10 @@ def _(t):
     return t.spark.read.parquet(f"{path}/fresh")
 
 
-@query("P04_ip_bursts", "slot:s ip:s requests:i", f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS slot, ip, count(*) AS requests FROM (SELECT ip, date_trunc('minute', date) - to_minutes(m) AS w FROM traffic, range(5) r(m))
-    WHERE w + INTERVAL 5 MINUTE <= {_LAST} GROUP BY w, ip HAVING count(*) >= 2""")
+@query("P04_ip_bursts", "slot:s ip:s requests:i", """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS slot, ip, count(*) AS requests FROM (SELECT ip, date_trunc('minute', date) - to_minutes(m) AS w FROM traffic, range(5) r(m))
+    GROUP BY w, ip HAVING count(*) >= 2""")
 def _(t):
-    found = _collected(t, live.ip_bursts(_stream(t), threshold=2), "burst-stream")
+    found = _counts(t, live.ip_bursts(_sliced(t), threshold=2), "burst-stream", ["slot", "ip"])
     return found.withColumn("slot", F.date_format("slot", "yyyy-MM-dd HH:mm:ss"))
 
 

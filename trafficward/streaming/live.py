@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.address import risk_points
 from ..functions.common import count_where
 from ..operators.classify import Thresholds, judge, with_scores
-from ..operators.sequence import add_gaps
 from ..schema import TIE
 
 
@@ -24,11 +26,12 @@ def read_files(spark: SparkSession, folder: str, schema, name_filter: str | None
     return reader.parquet(folder)
 
 
-def each_chunk(stream: DataFrame, call: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def each_chunk(stream: DataFrame, call: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Hand every arriving micro-batch to a user function."""
     return (
         stream.writeStream.foreachBatch(call)
         .option("checkpointLocation", checkpoint)
+        .outputMode(mode)
         .trigger(availableNow=True)
         .start()
     )
@@ -66,6 +69,28 @@ def channel_metrics(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     )
 
 
+def write_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write windowed counts as they grow: each batch owns a folder with the windows it changed.
+
+    Open windows are there too, so nothing waits for a watermark that a finished or silent stream
+    never reaches; `read_counts` gives the newest row of each window. A retried batch overwrites
+    its own folder. State is still dropped by the watermark of the counts.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return each_chunk(stream, sink, checkpoint, "update")
+
+
+def read_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest counts of each window written by `write_counts`."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("newest"))
+    return newest.select(*keys, "newest.*")
+
+
 def score_rows(stream: DataFrame, scores: DataFrame, flags: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Classify arriving rows against the stored channel tables (stream–static joins)."""
     return judge(with_scores(stream, scores, flags), thresholds)
@@ -93,9 +118,12 @@ def write_fresh(
     The rule looks at event times only, so one batch and many give the same rows as long as a
     request is not overtaken by a later one of an earlier batch. The last request per key is the
     state; keys silent for longer than the time to live (and `late_seconds`) are forgotten,
-    since their next request is fresh either way.
+    since their next request is fresh either way. Rows that come later than that are dropped.
     """
-    return _write_sequence(stream.withColumn("request_key", request_key(columns)), path, checkpoint, "request_key", ttl_seconds, late_seconds, True)
+    found = request_gaps(stream.withColumn("request_key", request_key(columns)), "request_key", ttl_seconds, late_seconds)
+    fresh = found.where("first").select("request_key", "date", TIE)
+    with _state_store(stream.sparkSession):
+        return to_parquet(fresh, f"{path}/fresh", checkpoint)
 
 
 def ip_bursts(stream: DataFrame, threshold: int = 5, length: str = "5 minutes", step: str = "1 minute", late: str = "1 hour") -> DataFrame:
@@ -116,41 +144,94 @@ def write_gaps(
     """Seconds since the entity's previous request, across micro-batches; 0 for a first request.
 
     With a time to live, a request after a longer silence counts as a first one, wherever the
-    batches are cut. Without it no entity is ever forgotten.
+    batches are cut, and rows more than `late_seconds` (default: the time to live) behind the
+    newest one of earlier batches are dropped. Without it no entity is ever forgotten.
     """
-    return _write_sequence(stream, path, checkpoint, entity, ttl_seconds, late_seconds, False)
+    found = request_gaps(stream, entity, ttl_seconds, late_seconds)
+    with _state_store(stream.sparkSession):
+        return to_parquet(found.drop("first"), f"{path}/gaps", checkpoint)
 
 
-def _write_sequence(
-    stream: DataFrame, path: str, checkpoint: str, entity: str, ttl: int | None, late: int | None, only_fresh: bool
-) -> StreamingQuery:
-    """The last request of every entity is kept as a table per batch. A batch joins its rows
-    with that table in one bucketed sequence (see `operators.sequence`), so a hot entity is
-    split by hour as in the batch job. Re-running a batch reads the same state and
-    overwrites the same output.
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """A query started inside keeps its state in RocksDB, which keyed processors need; the session's own choice returns."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class LastRequest(StatefulProcessor):
+    """Gap of each request to the one before it of the same key; the state is one request per key.
+
+    The rows of a key in a micro-batch are two integers each, sorted by time with the stored request
+    among them. With a time to live a timer on event time removes the state of a silent key, so a
+    batch reads and writes only the keys that it holds or that expire.
+    """
+
+    def __init__(self, entity: str, ttl: int | None):
+        self.entity, self.ttl = entity, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long, tie long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [(r["at"].to_numpy(np.int64), r[TIE].to_numpy(np.int64)) for r in rows]
+        at, tie = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        known = self.last.get() if self.last.exists() else None
+        if known:
+            at, tie = np.append(at, known[0]), np.append(tie, known[1])
+        order = np.lexsort((tie, at))
+        mine = np.arange(len(at)) < len(at) - bool(known)
+        at, tie, mine = at[order], tie[order], mine[order]
+        second = at // 1_000_000
+        gap = np.diff(second, prepend=second[:1])
+        first = np.arange(len(at)) == 0
+        if self.ttl is not None:
+            first |= gap > self.ttl
+        self.last.update((int(at[-1]), int(tie[-1])))
+        if self.ttl is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(at[-1]) // 1000 + 1000 * (self.ttl + 1))
+        out = {self.entity: [key[0]] * int(mine.sum()), "at": at[mine], TIE: tie[mine], "first": first[mine], "gap": np.where(first, 0, gap)[mine]}
+        yield pd.DataFrame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def request_gaps(stream: DataFrame, entity: str, ttl_seconds: int | None = None, late_seconds: int | None = None) -> DataFrame:
+    """(entity, date, row id, first, gap) of every request: keyed state, work in proportion to the batch.
+
+    Times count in whole seconds, equal times in order of the row id. Rows without an entity are
+    firsts with gap 0 and have no state; rows without a time are dropped. The rows of one key in one
+    micro-batch meet in one task at 16 bytes each, so `files_per_batch` bounds what a hot key needs.
     """
-    fields = [entity, "date", TIE]
-    folder = "fresh" if only_fresh else "gaps"
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*fields).withColumn("date", F.col("date").cast("timestamp"))
-        rows = rows.withColumn("_known", F.lit(False))
-        if number > 0:
-            state = spark.read.parquet(f"{path}/state/{number - 1}").withColumn("_known", F.lit(True))
-            rows = rows.unionByName(state)
-        found = add_gaps(rows, entity, first=None).where(~F.col("_known"))
-        gap = F.col(f"{entity}_time_gap")
-        fresh = gap.isNull() if ttl is None else gap.isNull() | (gap > ttl)
-        if only_fresh:
-            out = found.where(fresh).select(*fields)
-        else:
-            out = found.select(*fields, F.when(fresh, 0).otherwise(gap).cast("bigint").alias(f"{entity}_time_gap"))
-        out.write.mode("overwrite").parquet(f"{path}/{folder}/batch={number}")
-        last = rows.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.max(F.struct("date", TIE)).alias("last")).select(entity, "last.*")
-        if ttl is not None:
-            newest = rows.agg(F.max("date")).scalar()
-            last = last.where(F.unix_seconds("date") >= F.unix_seconds(newest) - ttl - (ttl if late is None else late))
-        last.write.mode("overwrite").parquet(f"{path}/state/{number}")
-
-    return each_chunk(stream, step, checkpoint)
+    timed = stream.select(entity, F.col("date").cast("timestamp").alias("date"), F.col(TIE).cast("long").alias(TIE)).where("date IS NOT NULL")
+    kind = timed.schema[entity].dataType.simpleString()
+    late = (late_seconds if late_seconds is not None else ttl_seconds) if ttl_seconds is not None else None
+    if late is not None:
+        timed = timed.withWatermark("date", f"{late} seconds")
+    gap = f"{entity}_time_gap"
+    slim = timed.where(F.col(entity).isNotNull()).select(entity, "date", F.unix_micros("date").alias("at"), TIE)
+    found = slim.groupBy(entity).transformWithStateInPandas(
+        LastRequest(entity, ttl_seconds),
+        f"`{entity}` {kind}, at long, `{TIE}` long, first boolean, gap long",
+        "Append",
+        "None" if late is None else "EventTime",
+    )
+    keyed = found.select(entity, F.timestamp_micros("at").alias("date"), TIE, "first", F.col("gap").alias(gap))
+    orphans = timed.where(F.col(entity).isNull()).select(entity, "date", TIE, F.lit(True).alias("first"), F.lit(0).cast("long").alias(gap))
+    return keyed.unionByName(orphans)
