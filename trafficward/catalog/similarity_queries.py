@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import channels as ch, density as dn, detectors as det, neighbours as nb, quality as ql, similarity as sm
+from ..operators import channels as ch, density as dn, detectors as det, hierarchy as hi, neighbours as nb, quality as ql, similarity as sm
 from ..operators.evaluate import cluster_size_stats, explained_variance
 from ..session import settle
 from .base import query
@@ -103,10 +103,18 @@ def _(t):
     return dn.dbscan(sm.to_points(ql.standard_scale(scored, _PARTS), _PARTS), 0.5, 5)
 
 
+def _ward(t):
+    return t.once("ward", lambda: hi.ward(t.stored("points", lambda: t.points), 10))
+
+
 @query("J06_hierarchical", "method:s n_clusters:i n_outliers:i silhouette:f calinski_harabasz:f inertia:f")
 def _(t):
-    labelled, _ = sm.bisecting(t.stored("points", lambda: t.points), 10)
-    return sm.clustering_metrics(settle(labelled), "hierarchical")
+    return sm.clustering_metrics(settle(_ward(t)[0]), "hierarchical")
+
+
+@query("J06_ward_merges", "height:f size:i")
+def _(t):
+    return _ward(t)[1]
 
 
 @query("J07_principal_components", "id:s first:f second:f")
@@ -197,6 +205,14 @@ def _(t):
     return cluster_size_stats(_clusters(t)[0])
 
 
+@query("M04_silhouettes", "id:s cluster:i silhouette:f", """WITH p AS (SELECT 'v' || vec_id AS id, embedding::DOUBLE[] AS v, label AS c FROM embeddings WHERE label >= 0), n AS (SELECT c, count(*) AS size FROM p GROUP BY c),
+    d AS (SELECT a.id, a.c AS home, b.c, sum(list_distance(a.v, b.v)) AS total FROM p a, p b GROUP BY ALL),
+    m AS (SELECT id, home, max(total / nullif(size - 1, 0)) FILTER (d.c = home) AS a, min(total / size) FILTER (d.c <> home) AS b FROM d JOIN n USING (c) GROUP BY ALL)
+    SELECT id, home AS cluster, coalesce((b - a) / nullif(greatest(a, b), 0), 0) AS silhouette FROM m""")
+def _(t):
+    return hi.silhouettes(t.points.join(t.read("embeddings").select(F.concat(F.lit("v"), "vec_id").alias("id"), F.col("label").alias("cluster")), "id"))
+
+
 @query("M04_projected_variance", "variance_explained:f")
 def _(t):
     return explained_variance(sm.principal_components(t.points, 10)[0])

@@ -6,7 +6,6 @@ import math
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.common import correlation
 from ..schema import numeric_columns
+from .hierarchy import mean_silhouette
 from .neighbours import collapse, nearest_neighbours, pairs_within
 from .quality import robust_scale, standard_scale
 from .ranks import quantile_struct
@@ -101,23 +101,18 @@ def within_sum(labelled: DataFrame) -> DataFrame:
 def clustering_metrics(labelled: DataFrame, name: str) -> DataFrame:
     """(method, n_clusters, n_outliers, silhouette, calinski_harabasz, inertia); noise excluded.
 
-    The silhouette uses squared Euclidean distance, which needs only cluster sums.
+    The silhouette is exact, with plain Euclidean distances (see `hierarchy.silhouettes`).
     """
     kept = labelled.where(F.col("cluster") >= 0)
     sums = within_sum(kept)
     noise = labelled.agg(F.count_if(F.col("cluster") < 0)).scalar()
-    k = kept.select("cluster").distinct().count()
-    shape = -1.0
-    if k > 1:
-        shape = ClusteringEvaluator(predictionCol="cluster").evaluate(
-            kept.select(array_to_vector("vec").alias("features"), "cluster")
-        )
+    shape = mean_silhouette(kept)
     between = (F.col("total") - F.col("inside")) / (F.col("k") - 1)
     return sums.select(
         F.lit(name).alias("method"),
         F.col("k").cast("bigint").alias("n_clusters"),
         noise.alias("n_outliers"),
-        F.lit(float(shape)).alias("silhouette"),
+        F.lit(shape).alias("silhouette"),
         F.when(F.col("k") > 1, F.try_divide(between, F.col("inside") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"),
         F.col("inside").alias("inertia"),
     )

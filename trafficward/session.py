@@ -59,6 +59,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder and read it again.
+
+    For long loops of joins: a checkpoint keeps the size estimate of its plan, which such a loop
+    multiplies round by round, while a table is as large as its files.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def compact(df: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
     """Spread rows over as many partitions as their number calls for.
 
