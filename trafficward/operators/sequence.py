@@ -1,9 +1,10 @@
 """Time-ordered neighbours of a request within its entity, safe for hot entities.
 
-A window partitioned by entity alone puts a hot address into one task. Windows
-here are partitioned by (entity, hour); the few rows of the neighbouring hours
-that a frame can reach are carried in as extra rows and dropped afterwards, so
-the result equals the plain window.
+A window partitioned by entity alone puts a hot address into one task. Here one range sort by
+(entity, time) cuts the rows into parts of about equal size, so a hot entity spans as many parts
+as its rows call for, even if all its requests fall into one second. Windows run inside
+(part, entity); the few rows that a frame can reach across the border of a part are carried in
+and dropped afterwards, so the result equals the plain window.
 """
 
 from __future__ import annotations
@@ -12,61 +13,50 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.common import as_int, seconds
 from ..schema import TIE
+from ..session import written
 
 
-def with_neighbours(
-    df: DataFrame, entity: str, before: int, after: int = 0, unit: str = "hour"
-) -> tuple[DataFrame, WindowSpec]:
+def with_neighbours(df: DataFrame, entity: str, before: int, after: int = 0, parts: int | None = None) -> tuple[DataFrame, WindowSpec]:
     """Rows plus carried rows (`_carry`), and the window to compute frames on.
 
-    Frames may reach `before` rows back and `after` rows ahead. Rows without an entity
-    are spread by row id: their values have to be overwritten by the caller.
+    Frames may reach `before` rows back and `after` rows ahead. The sorted rows are written once,
+    so that every reader sees the same `parts` (default: the session's shuffle partitions). Rows
+    without an entity or a time are sorted apart: their values have to be overwritten by the caller.
     """
-    orphan = F.col(entity).isNull() | F.col("date").isNull()
-    rows = df.withColumns(
-        {
-            "_slot": F.date_trunc(unit, F.col("date")),
-            "_salt": F.when(orphan, F.pmod(F.xxhash64(TIE), F.lit(1024))).otherwise(F.lit(0).cast("bigint")),
-            "_carry": F.lit(False),
-        }
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = ["_orphan", entity, "date", TIE]
+    marked = df.withColumn("_orphan", F.col(entity).isNull() | F.col("date").isNull())
+    placed = marked.repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, "sequence").withColumns(
+        {"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(2**33 - 1), "_carry": F.lit(False)}
+    ).drop("_at")
+
+    # the rows next to a border: before + after of each part, at most
+    sizes = placed.groupBy("_part").agg((F.max("_row") + 1).alias("_n"))
+    near = placed.select("_part", "_row", *key).join(F.broadcast(sizes), "_part")
+    near = near.where((F.col("_row") >= F.col("_n") - before) | (F.col("_row") < after))
+    row = F.struct("_row", *key)
+    borders = near.groupBy("_part").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_row") >= F.col("_n") - before, row))).alias("_tail"),
+        F.array_sort(F.collect_list(F.when(F.col("_row") < after, row))).alias("_head"),
     )
-    slim = rows.where(~orphan).select(entity, "_slot", "date", TIE)
-
-    def edge(name: str, count: int, order: list[Column]) -> DataFrame:
-        nth = F.row_number().over(Window.partitionBy(entity, "_slot").orderBy(*order))
-        return (
-            slim.withColumn("_nth", nth)
-            .where(F.col("_nth") <= count)
-            .groupBy(entity, "_slot")
-            .agg(F.sort_array(F.collect_list(F.struct("date", TIE))).alias(name))
-        )
-
-    edges = edge("_tail", before, [F.col("date").desc(), F.col(TIE).desc()])
-    slots = Window.partitionBy(entity).orderBy("_slot")
-    history = F.flatten(F.collect_list("_tail").over(slots.rowsBetween(-before, -1)))
+    # one row per part meets in one task; a part may hold fewer rows than a frame reaches
+    order = Window.orderBy("_part")
+    history = F.flatten(F.collect_list("_tail").over(order.rowsBetween(-before, -1)))
     carried = F.slice(history, F.greatest(F.size(history) - before, F.lit(0)) + 1, before)
     if after:
-        edges = edges.join(edge("_head", after, [F.col("date"), F.col(TIE)]), [entity, "_slot"])
-        future = F.flatten(F.collect_list("_head").over(slots.rowsBetween(1, after)))
-        carried = F.concat(carried, F.slice(future, 1, after))
-    extra = (
-        edges.select(entity, "_slot", carried.alias("_rows"))
-        .select(entity, "_slot", F.explode("_rows").alias("_row"))
-        .select(
-            entity,
-            "_slot",
-            F.col("_row.date").alias("date"),
-            F.col(f"_row.{TIE}").alias(TIE),
-            F.lit(0).cast("bigint").alias("_salt"),
-            F.lit(True).alias("_carry"),
-        )
-    )
-    window = Window.partitionBy(entity, "_slot", "_salt").orderBy("date", TIE)
-    return rows.unionByName(extra, allowMissingColumns=True), window
+        carried = F.concat(carried, F.slice(F.flatten(F.collect_list("_head").over(order.rowsBetween(1, after))), 1, after))
+    extra = borders.select("_part", carried.alias("_rows")).select("_part", F.explode("_rows").alias("_r"))
+    extra = extra.select("_part", *[F.col(f"_r.{c}").alias(c) for c in key], F.lit(True).alias("_carry"))
+    rows = placed.drop("_row").unionByName(extra, allowMissingColumns=True)
+    # parts are equally large, so dealing them out by range keeps tasks equally large
+    window = Window.partitionBy("_part", entity, "_orphan").orderBy("date", TIE)
+    return rows.repartitionByRange(parts, "_part"), window
 
 
 def without_carried(df: DataFrame) -> DataFrame:
-    return df.where(~F.col("_carry")).drop("_slot", "_salt", "_carry")
+    return df.where(~F.col("_carry")).drop("_part", "_orphan", "_carry")
 
 
 def add_gaps(df: DataFrame, entity: str, burst: str | None = None, first: int | None = 0) -> DataFrame:
