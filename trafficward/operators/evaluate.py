@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
+import uuid
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -140,20 +141,27 @@ def validation(flags: DataFrame, known: DataFrame, key: str = "channelId", flag:
 def cross_validate(prepared: DataFrame, folds: int = 5, trees: int = 100, names: tuple[str, ...] = ("gbt_a", "gbt_b")) -> DataFrame:
     """Mean and deviation of mse, mae and r2 over hashed folds, per regressor.
 
-    A fit is many small steps one after the other, so several fits run side by side.
+    A fit is many small steps one after the other, so several fits run side by side; when one
+    fails, the jobs of the others are cancelled and the error is raised.
     """
     spark = prepared.sparkSession
+    tag = f"cross-validation-{uuid.uuid4().hex}"
     fold = F.floor(hash01(F.concat(F.lit("fold:"), F.col("channelId"))) * folds)
     data = compact(settle(prepared.where(F.col("original_label").isNotNull()).withColumn("fold", fold))).persist()
     rows = []
 
     def held_out(name: str, i: int):
+        spark.addTag(tag)
         model = regressor(name, trees).fit(data.where(F.col("fold") != i))
         return regression_errors(model.transform(data.where(F.col("fold") == i)), "original_label", name)
 
     try:
         with ThreadPoolExecutor(max_workers=folds) as pool:
             waiting = {name: [pool.submit(held_out, name, i) for i in range(folds)] for name in names}
+            done, late = wait([f for futures in waiting.values() for f in futures], return_when=FIRST_EXCEPTION)
+            if any(f.exception() for f in done):
+                pool.shutdown(wait=False, cancel_futures=True)
+                spark.interruptTag(tag)
             found = {name: [f.result() for f in futures] for name, futures in waiting.items()}
         for name, scores in found.items():
             summary = []

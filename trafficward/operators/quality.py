@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.common import hash01, right_closed
 from ..session import compact, settle
+from .boosting import BoostedTrees, SecondOrderBoosting
 from .ranks import quantile_struct
 
 # Score bands and their names; class centres of the propagated labels.
@@ -167,8 +168,8 @@ def split(df: DataFrame, test_share: float = 0.2, key: str = "channelId") -> Dat
     return df.withColumn("is_test", hash01(F.concat(F.lit("split:"), F.col(key))) < test_share)
 
 
-def regressor(name: str, trees: int) -> GBTRegressor:
-    """`gbt_a`: 100 trees of depth 6, rate 0.1; `gbt_b`: the same with row subsampling."""
+def regressor(name: str, trees: int) -> GBTRegressor | SecondOrderBoosting:
+    """`gbt_a`: first-order trees of depth 6, rate 0.1; `gbt_b`: second-order ones with regularised leaves."""
     common = dict(
         featuresCol="features",
         labelCol="original_label",
@@ -180,7 +181,7 @@ def regressor(name: str, trees: int) -> GBTRegressor:
     )
     if name == "gbt_a":
         return GBTRegressor(seed=42, **common)
-    return GBTRegressor(seed=43, subsamplingRate=0.8, **common)
+    return SecondOrderBoosting("features", "original_label", name, trees=trees, rate=0.1, depth=6)
 
 
 def assemble(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
@@ -209,11 +210,15 @@ class Scorer:
 
     def save(self, path: str) -> None:
         for name, model in self.models.items():
-            PipelineModel([model]).write().overwrite().save(f"{path}/{name}")
+            if isinstance(model, BoostedTrees):
+                model.save(SparkSession.active(), f"{path}/{name}")
+            else:
+                PipelineModel([model]).write().overwrite().save(f"{path}/{name}")
 
     @staticmethod
     def load(path: str, names: list[str], features: list[str] = FEATURES) -> "Scorer":
-        return Scorer({n: PipelineModel.load(f"{path}/{n}").stages[0] for n in names}, [], features)
+        own = lambda n: BoostedTrees.load(SparkSession.active(), f"{path}/{n}")
+        return Scorer({n: own(n) if n == "gbt_b" else PipelineModel.load(f"{path}/{n}").stages[0] for n in names}, [], features)
 
 
 def evaluate(predictions: DataFrame, label: str, prediction: str) -> tuple[float, float, float]:
