@@ -199,11 +199,11 @@ def test_encoder_equals_the_library(name, spaced):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     rng = random.Random(5)
-    letters = " \n\t\r\x0b\x1c\x1f\x85\xa0  aAbBé'stdmllveIΣσς.,!?01²٣中字́̈😀_-#<|endoftext|>"
+    letters = " \n\t\rİ\u3000\x0b\x1c\x1f\x85\xa0  aAbBé'stdmllveIΣσς.,!?01²٣中字́̈😀_-#<|endoftext|>"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += [t for _, t in TEXTS] + ["it's I'LL 'sample <|endoftext|>x  <|startoftext|>", "a" * 5000]
+    texts += ["DEVRİ!", "İ.", "tİ-a", "a İ'b", "İ,x <|ENDOFTEXT|>", "a <|endoftext|> b", " \n", "x  \u3000y", "a\n\n b \n\tc", "\u2003"]
     for keep in (10**6, 50):
         own = encoder.UnitEncoder(name, spaced, keep)
         ids, per_text = own.encode(texts, end=1)
@@ -233,7 +233,6 @@ def library_ids(name: str, end: int) -> list[list[int]]:
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     return [e.ids + [end] for e in library.encode_batch([t or "" for _, t in TEXTS], add_special_tokens=False)]
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import new_folder
 from .common import parts_of, text_blocks
-from .encoder import UnitEncoder
+from .encoder import shared_encoder
 
 BLOCK = 128
 _HEAD = struct.Struct("<4sIQQ")
@@ -148,7 +148,7 @@ def write_tokens(
     dealt = rows.repartitionByRange(parts_of(df.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(vocabulary, spaced)
+        encoder = shared_encoder(vocabulary, spaced)
         keys, lengths, ids, held, seq, part = [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored, text_blocks
-from .encoder import UnitEncoder
+from .encoder import shared_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -29,7 +29,7 @@ def cut_documents(
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(vocabulary, spaced)
+        encoder = shared_encoder(vocabulary, spaced)
         for block, _, _ in text_blocks(batches):
             ids, per_text = encoder.encode(block.column("text").to_pylist(), end)
             content = memoryview(ids.astype("<u4").tobytes())
