@@ -252,65 +252,152 @@ def one_class_svm(
         df.unpersist()
 
 
-def _chi2_quantile(p: float, d: int) -> float:
-    """Chi-square quantile by the Wilson–Hilferty cube approximation."""
-    from statistics import NormalDist
+def chi2_cdf(x: float, d: int) -> float:
+    """Chi-square distribution function: the lower incomplete gamma function by series or continued fraction."""
+    a, x = d / 2, x / 2
+    if x <= 0:
+        return 0.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return front * total
+    b, c = x + 1 - a, 1e300
+    h = f = 1 / b
+    for i in range(1, 10_000):
+        b += 2
+        f = 1 / (b - i * (i - a) * f)
+        c = b - i * (i - a) / c
+        h *= f * c
+        if abs(f * c - 1) < 1e-16:
+            break
+    return 1.0 - front * h
 
-    z = NormalDist().inv_cdf(p)
-    return d * (1 - 2 / (9 * d) + z * math.sqrt(2 / (9 * d))) ** 3
 
+def chi2_quantile(p: float, d: int) -> float:
+    """The value that a chi-square variable stays below with probability `p`, by halving."""
+    low, high = 0.0, float(d)
+    while chi2_cdf(high, d) < p:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_cdf(middle, d) < p else (low, middle)
+    return (low + high) / 2
 
-def elliptic_envelope(df: DataFrame, contamination: float = 0.1, rounds: int = 10) -> DataFrame:
-    """(id, mahalanobis, envelope_anomaly): robust distance from a concentrated covariance.
 
-    Starts from the half of the rows nearest the coordinate-wise median (in units of the
-    median deviation), then repeats: mean and covariance of the half with the smallest
-    distances. The final fit uses every row inside the 97.5 % ellipse.
-    """
-    from ..session import settle
+@dataclass
+class RobustCovariance:
+    """Location and covariance of the bulk of the rows, and the log determinant of the raw fit."""
 
-    df = settle(df.select(F.col("id").cast("string").alias("id"), "vec"))
+    mean: np.ndarray
+    cov: np.ndarray
+    raw_log_det: float
+
+    @property
+    def inverse(self) -> np.ndarray:
+        return np.linalg.pinv(self.cov, hermitian=True)
+
+
+def _squared_distance(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    away = x - mean
+    return np.einsum("ij,jk,ik->i", away, inverse, away)
+
+
+def robust_covariance(df: DataFrame, rounds: int = 30, starts: int = 12, finalists: int = 3, seed: int = 1) -> RobustCovariance | None:
+    """Minimum covariance determinant: the half of the rows whose covariance is smallest, then reweighted.
+
+    The search starts at the coordinate-wise median and at `starts` small subsets (dimensions + 1 rows
+    each, by a hash of the id: the only rows that reach the driver). A concentration takes, for
+    every start at once, the half of the rows nearest to its mean in its own metric: one pass finds
+    the radii, one sums moments. After two of them the `finalists` of the smallest determinant go
+    on until nothing changes. The winner's covariance is scaled so that the median distance is
+    that of a normal sample, and mean and covariance are taken again over all rows within the
+    97.5 % ellipse. The result does not depend on the order of the rows, rounding aside. None
+    without rows.
+    """
     n = df.count()
     if not n:
-        return df.select("id", F.lit(None).cast("double").alias("mahalanobis"), F.lit(False).alias("envelope_anomaly"))
+        return None
     d = df.select(F.size("vec")).first()[0]
     half = min(n, (n + d + 1) // 2)
-    approx = lambda c: F.percentile_approx(c, 0.5, 10000)
-    centre = np.array(df.agg(F.array(*[approx(F.col("vec")[i]) for i in range(d)])).first()[0])
-    spread = np.array(
-        df.agg(F.array(*[approx(F.abs(F.col("vec")[i] - F.lit(float(centre[i])))) for i in range(d)])).first()[0]
-    )
+    fine = 1_000_000
+    middle = lambda c: F.percentile_approx(c, 0.5, fine)
+    centre = np.array(df.agg(F.array(*[middle(F.col("vec")[i]) for i in range(d)])).first()[0], float)
+    spread = np.array(df.agg(F.array(*[middle(F.abs(F.col("vec")[i] - F.lit(float(centre[i])))) for i in range(d)])).first()[0], float)
     spread = np.where(spread > 0, spread, 1.0)
+    units = lambda x: (x - centre) / spread
 
-    def distance(mean: np.ndarray, inverse: np.ndarray) -> Column:
-        @F.pandas_udf("double")
+    def radii(fits: list[tuple[np.ndarray, np.ndarray]], share: float) -> list[float]:
+        @F.pandas_udf("array<double>")
         def away(vec: pd.Series) -> pd.Series:
-            x = np.stack(vec.to_numpy()).astype(float) - mean
-            return pd.Series(np.einsum("ij,jk,ik->i", x, inverse, x))
-
-        return away("vec")
-
-    def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        flat = lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
-        # centred sums keep the covariance free of cancellation
-        sums = _sum_arrays(rows, lambda x: flat(x - centre), 1 + d + d * d)
-        count, first = sums[0], sums[1 : 1 + d] / sums[0]
-        cov = sums[1 + d :].reshape(d, d) / count - np.outer(first, first)
-        return centre + first, cov
-
-    inverse, mean, last = np.diag(1.0 / spread**2), centre, None
-    for _ in range(rounds):
-        scored = df.withColumn("_d", distance(mean, inverse))
-        cut = scored.agg(F.percentile_approx("_d", half / n, 10000)).first()[0]
-        if last is not None and abs(cut - last) <= 1e-9 * (1 + abs(last)):
+            x = units(np.stack(vec.to_numpy()).astype(float))
+            return pd.Series(list(np.stack([_squared_distance(x, m, i) for m, i in fits], axis=1)))
+
+        scored = df.select(away("vec").alias("d"))
+        return list(scored.agg(F.array(*[F.percentile_approx(F.col("d")[s], share, fine) for s in range(len(fits))])).first()[0])
+
+    def within(fits: list[tuple[np.ndarray, np.ndarray]], cuts: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+        def flat(x: np.ndarray) -> np.ndarray:
+            x, out = units(x), []
+            for (m, i), cut in zip(fits, cuts):
+                near = x[_squared_distance(x, m, i) <= cut * (1 + 1e-12)]
+                out.append(np.concatenate([[len(near)], near.sum(axis=0), (near.T @ near).ravel()]))
+            return np.concatenate(out)
+
+        sums = _sum_arrays(df, flat, len(fits) * (1 + d + d * d)).reshape(len(fits), -1)
+        found = []
+        for row in sums:
+            mean = row[1 : 1 + d] / row[0]
+            found.append((mean, row[1 + d :].reshape(d, d) / row[0] - np.outer(mean, mean)))
+        return found
+
+    def log_det(cov: np.ndarray) -> float:
+        sign, value = np.linalg.slogdet(cov)
+        return value if sign > 0 else -np.inf
+
+    metric = lambda fit: (fit[0], np.linalg.pinv(fit[1], hermitian=True))
+    size = d + 1
+    name = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    drawn = units(np.array([r.vec for r in df.orderBy(name, "id", "vec").limit(starts * size).collect()], float))
+    groups = [drawn[i : i + size] for i in range(0, len(drawn) - size + 1, size)] or [drawn]
+    fits = [(np.zeros(d), np.eye(d))] + [metric((g.mean(axis=0), np.cov(g.T, bias=True).reshape(d, d))) for g in groups]
+    # a subset spans few directions: along the others distance is taken as it is
+    fits = [(m, i if np.linalg.matrix_rank(i) == d else i + np.eye(d)) for m, i in fits]
+    found, last = [], None
+    for turn in range(rounds):
+        cuts = radii(fits, half / n)
+        found = within(fits, cuts)
+        if turn == 1 and len(found) > finalists:
+            found = sorted(found, key=lambda f: log_det(f[1]))[:finalists]
+        fits = [metric(f) for f in found]
+        dets = [log_det(f[1]) for f in found]
+        if turn > 1 and last is not None and np.allclose(dets, last, rtol=0, atol=1e-9):
             break
-        last = cut
-        mean, cov = fit(scored.where(F.col("_d") <= cut))
-        inverse = np.linalg.pinv(cov, hermitian=True)
-    scored = df.withColumn("_d", distance(mean, inverse))
-    middle = scored.agg(F.percentile_approx("_d", 0.5, 10000)).first()[0]
-    scale = middle / _chi2_quantile(0.5, d) if middle else 1.0
-    mean, cov = fit(scored.where(F.col("_d") <= _chi2_quantile(0.975, d) * scale))
-    scored = df.select("id", F.sqrt(F.greatest(distance(mean, np.linalg.pinv(cov, hermitian=True)), F.lit(0.0))).alias("mahalanobis"))
-    scored = settle(scored)
+        last = dets if turn >= 1 else None
+    best = min(range(len(found)), key=lambda s: log_det(found[s][1]))
+    raw = log_det(found[best][1])
+    scale = radii([fits[best]], 0.5)[0] / chi2_quantile(0.5, d) or 1.0
+    mean, cov = within([fits[best]], [chi2_quantile(0.975, d) * scale])[0]
+    return RobustCovariance(centre + spread * mean, cov * np.outer(spread, spread), raw + 2 * float(np.log(spread).sum()))
+
+
+def elliptic_envelope(df: DataFrame, contamination: float = 0.1, rounds: int = 30) -> DataFrame:
+    """(id, mahalanobis, envelope_anomaly): distance in the metric of `robust_covariance`, the farthest rows flagged."""
+    from ..session import settle
+
+    df = settle(df.select(F.col("id").cast("string").alias("id"), "vec"))
+    fit = robust_covariance(df, rounds)
+    if fit is None:
+        return df.select("id", F.lit(None).cast("double").alias("mahalanobis"), F.lit(False).alias("envelope_anomaly"))
+    mean, inverse = fit.mean, fit.inverse
+
+    @F.pandas_udf("double")
+    def away(vec: pd.Series) -> pd.Series:
+        return pd.Series(np.sqrt(np.maximum(_squared_distance(np.stack(vec.to_numpy()).astype(float), mean, inverse), 0.0)))
+
+    scored = settle(df.select("id", away("vec").alias("mahalanobis")))
     return flag_lowest(scored.withColumn("_neg", -F.col("mahalanobis")), "_neg", contamination, "envelope_anomaly").drop("_neg")
