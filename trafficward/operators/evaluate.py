@@ -6,7 +6,7 @@ import math
 import uuid
 from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.common import correlation, hash01
 from ..session import compact, settle
@@ -189,11 +189,39 @@ def _kolmogorov(x):
     return F.when(x < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
 
 
-def drift(current: DataFrame, baseline: DataFrame, features: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
+def exact_ks(n: Column, m: Column, statistic: Column) -> Column:
+    """The chance of a two-sample statistic at least this large when both samples share a distribution.
+
+    Orders of the n + m values are lattice paths from (0, 0) to (n, m), all equally likely. A fold
+    over the rows of the lattice counts the paths that stay where |i/n − j/m| is smaller than the
+    statistic; the rest is the p-value. Counts are doubles, so n + m may reach about 1,000.
+    """
+    n, m = n.cast("long"), m.cast("long")
+    bound = F.round(statistic * n * m).cast("long")
+
+    def row(above: Column, i: Column) -> Column:
+        def step(done: Column, j: Column) -> Column:
+            ways = F.when((i == 0) & (j == 0), F.lit(1.0)).otherwise(F.get(above, j.cast("int")) + done["last"])
+            inside = F.when(F.abs(i * m - j * n) < bound, ways).otherwise(F.lit(0.0))
+            return F.struct(F.concat(done["row"], F.array(inside)).alias("row"), inside.alias("last"))
+
+        start = F.struct(F.array().cast("array<double>").alias("row"), F.lit(0.0).alias("last"))
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), m), start, step, lambda done: done["row"])
+
+    last = F.aggregate(F.sequence(F.lit(0).cast("long"), n), F.array_repeat(F.lit(0.0), (m + 1).cast("int")), row)
+    inside = F.element_at(last, -1)
+    every = F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(1.0), lambda c, k: c * (m + k) / k)
+    return F.when(bound <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(1.0 - inside / every, F.lit(0.0)), F.lit(1.0)))
+
+
+def drift(
+    current: DataFrame, baseline: DataFrame, features: list[str] | None = None, alpha: float = 0.05, exact_cells: int = 10_000
+) -> DataFrame:
     """Two-sample Kolmogorov–Smirnov statistic per common numeric feature, with means and mean shift.
 
     All features go through one pass in long form; the cumulative shares are exact (see
-    `ranks.cumulative`). The p-value is asymptotic.
+    `ranks.cumulative`). The p-value is exact (`exact_ks`) while the product of the sample sizes is
+    at most `exact_cells`, and asymptotic beyond.
     """
     if features is None:
         there = set(numeric_columns(baseline))
@@ -212,10 +240,14 @@ def drift(current: DataFrame, baseline: DataFrame, features: list[str] | None =
         F.avg(F.when(F.col("b") == 1, F.col("value"))).alias("baseline_mean"),
         F.stddev_samp(F.when(F.col("b") == 1, F.col("value"))).alias("_std"),
     )
+    small = (F.col("_n") > 0) & (F.col("_m") > 0) & (F.col("_n") * F.col("_m") <= exact_cells)
     root = F.sqrt(F.col("_n") * F.col("_m") / (F.col("_n") + F.col("_m")))
     return (
         statistic.join(moments, "column")
-        .withColumn("p_value", _kolmogorov(root * F.col("ks_statistic")))
+        .withColumn(
+            "p_value",
+            F.when(small, exact_ks(F.col("_n"), F.col("_m"), F.col("ks_statistic"))).otherwise(_kolmogorov(root * F.col("ks_statistic"))),
+        )
         .select(
             F.col("column").alias("feature"),
             "ks_statistic",
