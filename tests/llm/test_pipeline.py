@@ -27,7 +27,7 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql_twins(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "conversations", "labels"):
+    for table in ("documents", "conversations", "labels", "embeddings"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{FOLDER}/{table}.parquet')")
     df = queries.QUERIES[name](spark, FOLDER)
     answer = db.execute(queries.SQL[name])
