@@ -227,6 +227,14 @@ def _(t):
     return pt.merge_counts([pt.shares(c, "device", "channelId").drop("share") for c in chunks], ["channelId", "device"], ["n"])
 
 
+@query("E15_merge_partial_distincts", "channelId:s ip:i country:i", "SELECT channelId, count(DISTINCT ip) AS ip, count(DISTINCT country) AS country FROM hits GROUP BY channelId")
+def _(t):
+    rows = t.rows
+    chunks = [rows.where(F.pmod(F.col("eventId"), F.lit(3)) == i) for i in range(3)]
+    merged = pt.merge_sketches([pt.distinct_sketches(c, ["channelId"], ["ip", "country"]) for c in chunks], ["channelId"], ["ip", "country"])
+    return pt.distinct_estimates(merged, ["ip", "country"])
+
+
 @query("E17_moments_and_quantiles", "channelId:s var_samp:f std_pop:f q10:f median:f q95:f", """SELECT channelId, var_samp(weighted_fraud_score) AS var_samp,
     stddev_pop(weighted_fraud_score) AS std_pop, quantile_cont(weighted_fraud_score, 0.1) AS q10, median(weighted_fraud_score) AS median,
     quantile_cont(weighted_fraud_score, 0.95) AS q95 FROM hits GROUP BY channelId""")

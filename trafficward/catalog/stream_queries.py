@@ -44,6 +44,12 @@ def _(t):
     return found.withColumn("slot", F.date_format("slot", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("P01_channel_totals", "channelId:s requests:i bots:i ips:i", """SELECT channelId, count(*) AS requests, sum(isLikelyBot::INT) AS bots, count(DISTINCT ip) AS ips
+    FROM traffic WHERE channelId IS NOT NULL GROUP BY channelId""")
+def _(t):
+    return live.channel_totals(_counts(t, live.channel_metrics(_sliced(t)), "metrics-stream", ["slot", "channelId"]))
+
+
 @query("P02_scored_rows", "eventId:i classification:s risk_score:f reason_codes:s", _JUDGED)
 def _(t):
     path = new_folder(t.spark, "scored-stream")

@@ -23,6 +23,7 @@ CLASS_EDGES = [0, 2.5, 5, 7.5, 10]
 CLASS_SCORES = {1: 1.25, 2: 3.75, 3: 6.25, 4: 8.75}
 UNLABELLED_SCORE = 5.0
 
+# Names of the channel metrics and of the features the models read.
 METRICS = [
     "bot_rate",
     "fraud_flags_avg",
@@ -44,6 +45,7 @@ FEATURES = [*METRICS, "requests_per_ip", "combined_fraud_risk", "log_volume"]
 def label_band(metrics: DataFrame) -> Column:
     """Name of the rule band of a channel: low beats medium-low, then high, good, medium."""
     c = F.col
+    # The thresholds of the bands.
     low = (
         (c("bot_rate") > 0.5)
         | (c("fraud_score_avg") > 3.0)
@@ -51,8 +53,8 @@ def label_band(metrics: DataFrame) -> Column:
         | ((c("ip_diversity") == 1) & (c("volume") > 100))
     )
     below_medium = (
-        c("bot_rate").between(0.25, 0.5) & (c("bot_rate") != 0.25)
-        | c("fraud_score_avg").between(1.5, 3.0) & (c("fraud_score_avg") != 1.5)
+        ((c("bot_rate") > 0.25) & (c("bot_rate") <= 0.5))
+        | ((c("fraud_score_avg") > 1.5) & (c("fraud_score_avg") <= 3.0))
         | (c("ip_diversity") < 3)
         | (c("time_pattern_diversity") < 1.0)
     )

@@ -54,7 +54,7 @@ def _timed(stream: DataFrame, late: str) -> DataFrame:
 
 
 def channel_metrics(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Hourly channel counts; sums rather than ratios, so windows can be added up later."""
+    """Hourly channel counts; sums and sketches rather than ratios and distinct counts, so windows can be added up (`channel_totals`)."""
     return (
         _timed(stream, late)
         .where(F.col("channelId").isNotNull())
@@ -64,8 +64,17 @@ def channel_metrics(stream: DataFrame, late: str = "1 hour") -> DataFrame:
             count_where(F.col("isLikelyBot")).alias("bots"),
             count_where(F.col("isIpDatacenter")).alias("datacenter"),
             count_where(risk_points() >= 2).alias("high_risk"),
+            F.hll_sketch_agg("ip", 12).alias("ip_sketch"),
         )
-        .select(F.col("window.start").alias("slot"), "channelId", "requests", "bots", "datacenter", "high_risk")
+        .select(F.col("window.start").alias("slot"), "channelId", "requests", "bots", "datacenter", "high_risk", "ip_sketch")
+    )
+
+
+def channel_totals(windows: DataFrame) -> DataFrame:
+    """Counts over any set of windows of `channel_metrics`, with the distinct addresses of all of them (`ips`)."""
+    sums = ["requests", "bots", "datacenter", "high_risk"]
+    return windows.groupBy("channelId").agg(
+        *[F.sum(c).alias(c) for c in sums], F.hll_sketch_estimate(F.hll_union_agg("ip_sketch")).alias("ips")
     )
 
 
