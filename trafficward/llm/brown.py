@@ -9,8 +9,9 @@ never tokens; all counts cover all training tokens.
 2. Exchange: the bigram counts between the `frequent` commonest words are dealt by word. Each round,
    every one of these words is moved to the class that gains most likelihood while the others
    stay; only half of them (alternating) really move at a time, and a round that loses is undone.
-3. All other words: in each chunk, a word's neighbours of step 2 vote for the class that explains
-   them best; the class with most votes, weighted by occurrences, is the word's.
+3. All other words: how often each class of step 2 stands before and after a word is summed over all
+   chunks, and the word goes to the class that gains most likelihood by these sums. Words that
+   never stand beside a word of step 2 go where most of the others went.
 4. Probability of a word after another: transition between their classes, interpolated with the
    class's own share, times the word's share of its class. Shares are discounted by one constant;
    what is freed belongs to unknown words, so known and unknown words sum to one.
@@ -50,7 +51,7 @@ class Model:
     end_class: int
 
 
-def code_corpus(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", chunk_tokens: int = 2_500_000) -> DataFrame:
+def code_corpus(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", chunk_tokens: int = 1_000_000) -> DataFrame:
     """The texts as chunks of token numbers; null texts hold the end alone.
 
     A-Z are lowered; words are runs of bytes outside space and \\t..\\r, told apart by 64-bit hashes.
@@ -113,21 +114,13 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _follows(lengths: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """For each token of a chunk, whether it is a training token that has one before it in its text."""
-    first = np.cumsum(lengths) - lengths
-    ok = np.repeat(~held, lengths)
-    ok[first] = False
-    return ok
-
-
 def vocabulary(chunks: DataFrame) -> DataFrame:
     """(word, n): each training word's count."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, counts in zip(batch.column("words"), batch.column("counts")):
-                w, n = np.frombuffer(words.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int64)
+                w, n = np.frombuffer(words.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(w[n > 0]), pa.array(n[n > 0])], ["word", "n"])
 
     rows = chunks.select("words", "counts").mapInArrow(entries, "word long, n long")
@@ -193,7 +186,7 @@ def best_class(counts: np.ndarray, now: int, after: np.ndarray, before: np.ndarr
     g[now, now] -= own
     g = np.maximum(g, 0.0)
     n_after, n_before = after.sum() + own, before.sum() + own
-    rows, columns = g.sum(axis=1), g.sum(axis=0)
+    rows, columns = g.sum(axis=1) + before, g.sum(axis=0) + after  # the word's neighbours stay where they are
     score = (_xlogx(g + after[None, :]) - _xlogx(g)).sum(axis=1) + (_xlogx(g + before[:, None]) - _xlogx(g)).sum(axis=0)
     d = np.diagonal(g)
     score += _xlogx(d + after + before + own) + _xlogx(d) - _xlogx(d + after) - _xlogx(d + before)
@@ -242,47 +235,113 @@ def exchange(pairs: DataFrame, m: int, classes: int, rounds: int) -> tuple[np.nd
     return of, counts
 
 
-def _votes(chunks: DataFrame, top: np.ndarray, of: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(word, class, n): per chunk and word outside `top`, the class its neighbours in `top` speak for."""
+#: Bits for a count beside its slot; larger counts take several entries.
+_COUNT_BITS = 23
+
+
+def _neighbours(chunks: DataFrame, top: np.ndarray, of: np.ndarray, classes: int) -> DataFrame:
+    """(word, slots): per chunk and word outside `top`, how often each class of `top` stands beside it.
+
+    An entry of `slots` is 32 bits: the class after the word, or `classes` + the class before it, and a count.
+    """
     order = np.argsort(top)
-    known, classes = top[order], len(counts)
-    smooth = counts + 0.1
-    ratio = np.log(smooth * smooth.sum() / (smooth.sum(axis=1, keepdims=True) * smooth.sum(axis=0, keepdims=True)))
+    known = top[order]
+    end = np.flatnonzero(top == END)
+    end_class = int(of[end[0]]) if len(end) else -1
+    width, most = 2 * classes, (1 << _COUNT_BITS) - 1
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _chunk_rows(batches):
             numbers, words, train, lengths, held = _opened(row)
             at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-            class_of = np.where(known[at] == words, of[order[at]], -1)
-            cls = class_of[numbers]
-            follows = _follows(lengths, held)
-            slots = []
-            here = np.flatnonzero(follows & (cls < 0))
-            here = here[cls[here - 1] >= 0]
-            slots.append(numbers[here] * (2 * classes) + cls[here - 1])
-            there = np.flatnonzero(follows & (cls >= 0))
+            class_of = np.where(known[at] == words, of[order[at]], -1).astype(np.int16)
+            cls, first = class_of[numbers], np.cumsum(lengths) - lengths
+            before = np.append(np.int16(-1), cls[:-1])
+            before[first] = end_class
+            ok = np.repeat(~held, lengths)
+            here = np.flatnonzero(ok & (cls < 0) & (before >= 0))
+            after = ok & (cls >= 0)
+            after[first] = False
+            there = np.flatnonzero(after)
             there = there[cls[there - 1] < 0]
-            slots.append(numbers[there - 1] * (2 * classes) + classes + cls[there])
-            cls = follows = here = there = None
-            slot, n = np.unique(np.concatenate(slots), return_counts=True)
-            other = np.flatnonzero((class_of < 0) & (train > 0))
-            # words without any neighbour in `top` stay with class 0's vote of weight 0
-            best = np.zeros(len(words), np.int32)
-            table = np.concatenate([ratio, ratio.T])
-            owner = slot // (2 * classes)
-            bounds = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-            for i in range(0, len(bounds), 1 << 10):
-                part = bounds[i : i + (1 << 10)]
-                stop = bounds[i + len(part)] if i + len(part) < len(bounds) else len(slot)
-                sums = np.add.reduceat(table[slot[part[0] : stop] % (2 * classes)] * n[part[0] : stop, None], part - part[0], axis=0)
-                best[owner[part]] = np.argmax(sums, axis=1)
-            heard = np.zeros(len(words), np.int64)
-            np.add.at(heard, owner, n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words[other].view(np.int64)), pa.array(best[other]), pa.array(heard[other])], ["word", "class", "n"]
+            slot, n = np.unique(
+                np.concatenate([numbers[here] * width + classes + before[here], numbers[there - 1] * width + cls[there]]), return_counts=True
             )
+            pieces = -(-n // most)
+            slot, n = np.repeat(slot, pieces), np.minimum(most, np.repeat(n, pieces) - most * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)))
+            sizes = np.bincount(slot // width, minlength=len(words))
+            other = np.flatnonzero((class_of < 0) & (train > 0))
+            where = np.append(0, np.cumsum(4 * sizes[other])).astype(np.int32)
+            entries = ((slot % width) << _COUNT_BITS | n).astype(np.uint32)
+            packed = pa.Array.from_buffers(pa.binary(), len(other), [None, pa.py_buffer(where), pa.py_buffer(entries)])
+            yield pa.RecordBatch.from_arrays([_signed(words[other]), packed], ["word", "slots"])
+
+    return chunks.mapInArrow(count, "word long, slots binary")
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
 
-    return chunks.mapInArrow(vote, "word long, class int, n long")
+def placing_gains(counts: np.ndarray, owner: np.ndarray, slot: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
+    """The likelihood that m words gain in each class (m × classes, but for a constant per word) when each is
+    added to `counts` alone.
+
+    `owner` (ascending), `slot` and `n` are the entries of the words' neighbour counts.
+    """
+    c = len(counts)
+    beside = np.concatenate([counts.T, counts])
+    gains = np.zeros((m, c))
+    if len(owner):
+        heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        gains[owner[heads]] = np.add.reduceat(_xlogx(beside[slot] + n[:, None]) - _xlogx(beside)[slot], heads, axis=0)
+    table = np.zeros((m, 2 * c))
+    table[owner, slot] = n
+    after, before, d = table[:, :c], table[:, c:], np.diagonal(counts)
+    gains += _xlogx(d + after + before) + _xlogx(d) - _xlogx(d + after) - _xlogx(d + before)
+    for margin, more in ((counts.sum(axis=1) + before, after), (counts.sum(axis=0) + after, before)):
+        gains -= _xlogx(margin + more.sum(axis=1, keepdims=True)) - _xlogx(margin)
+    return gains
+
+
+def _placed(neighbours: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(word, class): the class that gains most by a word's neighbours in all chunks; null without any.
+
+    A word's rows follow each other and are summed as they come, so a word of any number of chunks is one sum.
+    """
+    c = len(counts)
+    width, mask = 2 * c, (1 << _COUNT_BITS) - 1
+
+    def chosen(words: np.ndarray, owner: np.ndarray, slot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        best, heard = np.zeros(len(words), np.int32), np.zeros(len(words), bool)
+        heard[owner] = True
+        for i in range(0, len(words), 256):
+            a, b = np.searchsorted(owner, (i, i + 256))
+            gains = placing_gains(counts, owner[a:b] - i, slot[a:b], n[a:b], min(256, len(words) - i))
+            best[i : i + 256] = np.argmax(gains, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(best, mask=~heard)], ["word", "class"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = slot = n = np.zeros(0, np.int64)  # the last word and its sums: its next rows may be in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.array([len(x.as_buffer()) // 4 for x in batch.column("slots")])
+            flat = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("slots")]).astype(np.int64)
+            rows = np.append(word, batch.column("word").to_numpy())
+            mine = np.append(np.zeros(len(slot), np.int64), np.repeat(np.arange(len(sizes)) + len(word), sizes))
+            slot, n = np.append(slot, flat >> _COUNT_BITS), np.append(n, flat & mask)
+            heads = np.append(True, rows[1:] != rows[:-1])
+            key, at = np.unique((np.cumsum(heads) - 1)[mine] * width + slot, return_inverse=True)
+            n = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
+            words, owner, slot = rows[heads], key // width, key % width
+            cut = np.searchsorted(owner, len(words) - 1)
+            yield chosen(words[:-1], owner[:cut], slot[:cut], n[:cut])
+            word, slot, n = words[-1:], slot[cut:], n[cut:]
+        if len(word):
+            yield chosen(word, np.zeros(len(slot), np.int64), slot, n)
+
+    return neighbours.repartition("word").sortWithinPartitions("word").mapInArrow(place, "word long, class int")
 
 
 def fit(chunks: DataFrame, classes: int = 64, frequent: int = 2048, rounds: int = 12, smoothing: float = 10.0) -> Model:
@@ -301,8 +360,9 @@ def fit(chunks: DataFrame, classes: int = 64, frequent: int = 2048, rounds: int
     of, counts = exchange(_pairs(chunks, top), len(top), classes, rounds)
     seen = [(int(w), int(c)) for w, c in zip(top.view(np.int64), of)]
     fixed = spark.createDataFrame(seen, "word long, class int")
-    votes = _votes(chunks, top, of, counts).groupBy("word", "class").agg(F.sum("n").alias("n"))
-    chosen = votes.groupBy("word").agg(F.max_by("class", F.struct("n", -F.col("class"))).alias("class"))
+    placed = stored(_placed(_neighbours(chunks, top, of, classes), counts), "placed-words")
+    usual = placed.where("class IS NOT NULL").groupBy("class").count().orderBy(F.desc("count"), "class").first()
+    chosen = placed.fillna(int(usual["class"]) if usual else 0, ["class"])
     full = stored(counted.join(chosen.unionByName(fixed), "word"), "word-classes")
     sizes = full.groupBy("class").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types")).toPandas()
     tokens, types = np.zeros(classes), np.zeros(classes)
@@ -314,16 +374,16 @@ def fit(chunks: DataFrame, classes: int = 64, frequent: int = 2048, rounds: int
 
 def _classed(chunks: DataFrame, model: Model) -> DataFrame:
     """Per chunk, each token's class (one byte, 255 if unknown) and each text's sums over its words."""
-    entries = "chunk long, word long"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, words in zip(batch.column("chunk"), batch.column("words")):
-                w = np.frombuffer(words.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.repeat(chunk, len(w)), pa.array(w)], ["chunk", "word"])
+                w = np.frombuffer(words.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(chunk, len(w)), pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w)], ["chunk", "at", "word"])
 
-    asked = chunks.select("chunk", "words").mapInArrow(look, entries)
-    answers = asked.join(model.vocabulary, "word").select("chunk", "word", "n", "class")
+    asked = chunks.select("chunk", "words").mapInArrow(look, "chunk long, at int, word long")
+    answers = asked.join(model.vocabulary, "word").select("chunk", "at", "n", "class")
+    tokens = chunks.select("chunk", "n_tokens", "tokens", (F.length("words") / 8).cast("int").alias("n_words"), "doc_ids", "held", "lengths")
     total = model.n_tokens + model.n_types + 1
     discount = model.discount
     fields = [("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("emitted", pa.list_(pa.float64())), ("classes", pa.binary())]
@@ -331,11 +391,9 @@ def _classed(chunks: DataFrame, model: Model) -> DataFrame:
 
     def code(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        numbers, words, _, lengths, _ = _opened(row)
-        n, cls = np.zeros(len(words), np.int64), np.full(len(words), UNKNOWN, np.uint8)
-        order = np.argsort(words)
-        found = right.column("word").to_numpy().view(np.uint64)
-        at = order[np.searchsorted(words[order], found)]
+        numbers, lengths = unpack_blocks(memoryview(row["tokens"]), row["n_tokens"]), np.array(row["lengths"], np.int64)
+        n, cls = np.zeros(row["n_words"], np.int64), np.full(row["n_words"], UNKNOWN, np.uint8)
+        at = right.column("at").to_numpy()
         n[at], cls[at] = right.column("n").to_numpy(), right.column("class").to_numpy()
         stops = np.cumsum(lengths)
 
@@ -351,7 +409,7 @@ def _classed(chunks: DataFrame, model: Model) -> DataFrame:
 
     kinds = "doc_ids array<long>, held array<boolean>, lengths array<int>, known array<long>, base array<double>, emitted array<double>, classes binary"
     # the tokens of a chunk and the answers to its own words, both bounded by the chunk
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(code, kinds)
+    return tokens.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(code, kinds)
 
 
 def step_table(moves: np.ndarray, model: Model) -> np.ndarray:
