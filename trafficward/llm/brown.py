@@ -33,6 +33,8 @@ from .common import lower_ascii, span_hashes, stored, text_blocks, word_spans
 #: The end of a text, as a word.
 END = 0
 UNKNOWN = 255
+#: Chunks are rows of megabytes: writer and reader hold a row group of them.
+_SMALL_GROUPS = {"parquet.block.size": 8 << 20}
 _CHUNK = "chunk long, n_tokens long, tokens binary, words binary, counts binary, doc_ids array<long>, held array<boolean>, lengths array<int>"
 
 
@@ -93,7 +95,7 @@ def _chunk(name: int, parts: list[tuple]) -> pa.RecordBatch:
     numbers = rank[numbers]
     train = np.bincount(numbers[np.repeat(~held, lengths)], minlength=len(words))
     columns = [
-        [name], [len(numbers)], [pack_blocks(numbers)], [words[order].tobytes()], [train.astype(np.int64).tobytes()],
+        [name], [len(numbers)], [pack_blocks(numbers)], [words[order].tobytes()], [pack_blocks(train.astype(np.uint32))],
         [[i for p in parts for i in p[3]]], [held.tolist()], [lengths.tolist()],
     ]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
@@ -104,7 +106,8 @@ def _chunk(name: int, parts: list[tuple]) -> pa.RecordBatch:
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token numbers, word hashes, training counts, text lengths, held-out flags of a chunk."""
     numbers = unpack_blocks(memoryview(row["tokens"]), row["n_tokens"]).astype(np.int64)
-    words, counts = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.int64)
+    words = np.frombuffer(row["words"], np.uint64)
+    counts = unpack_blocks(memoryview(row["counts"]), len(words)).astype(np.int64)
     return numbers, words, counts, np.array(row["lengths"], np.int64), np.array(row["held"], bool)
 
 
@@ -120,7 +123,8 @@ def vocabulary(chunks: DataFrame) -> DataFrame:
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, counts in zip(batch.column("words"), batch.column("counts")):
-                w, n = np.frombuffer(words.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64)
+                w = np.frombuffer(words.as_buffer(), np.int64)
+                n = unpack_blocks(memoryview(counts.as_py()), len(w)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(w[n > 0]), pa.array(n[n > 0])], ["word", "n"])
 
     rows = chunks.select("words", "counts").mapInArrow(entries, "word long, n long")
@@ -358,8 +362,8 @@ def fit(chunks: DataFrame, classes: int = 64, frequent: int = 2048, rounds: int
         empty = spark.createDataFrame([], "word long, n long, class int")
         return Model(empty, classes, discount, smoothing, np.zeros(classes), np.zeros(classes), 0, 0, 0)
     of, counts = exchange(_pairs(chunks, top), len(top), classes, rounds)
-    seen = [(int(w), int(c)) for w, c in zip(top.view(np.int64), of)]
-    fixed = spark.createDataFrame(seen, "word long, class int")
+    # from Arrow: a Python list would start further workers on every executor
+    fixed = spark.createDataFrame(pa.table({"word": _signed(top), "class": pa.array(of, pa.int32())}))
     placed = stored(_placed(_neighbours(chunks, top, of, classes), counts), "placed-words")
     usual = placed.where("class IS NOT NULL").groupBy("class").count().orderBy(F.desc("count"), "class").first()
     chosen = placed.fillna(int(usual["class"]) if usual else 0, ["class"])
@@ -433,7 +437,7 @@ def score(chunks: DataFrame, model: Model) -> DataFrame:
     The context of a text's first word is the end of a text; after an unknown word, classes have
     their own shares. Scores are log10 probabilities of all tokens, the end included.
     """
-    classed = stored(_classed(chunks, model), "classed")
+    classed = stored(_classed(chunks, model), "classed", **_SMALL_GROUPS)
     c, end_class, train_tokens = model.classes, model.end_class, model.n_tokens
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,5 +481,5 @@ def _contexts(row: dict, end_class: int) -> tuple[np.ndarray, np.ndarray]:
 
 def scored_documents(df: DataFrame, held_out, key: str = "doc_id", text: str = "text", **fitting) -> DataFrame:
     """Fit on the rows where `held_out` is false or null, score all rows; empty tables give an empty result."""
-    chunks = stored(code_corpus(df, held_out, key, text), "chunks")
+    chunks = stored(code_corpus(df, held_out, key, text), "chunks", **_SMALL_GROUPS)
     return score(chunks, fit(chunks, **fitting))
