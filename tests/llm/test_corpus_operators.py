@@ -336,60 +336,6 @@ def test_brown_finds_the_classes_and_sums_to_one(spark):
     assert best == int(np.argmax(value)) and gain == pytest.approx(max(value) - value[1], abs=1e-6)
 
 
-def test_brown_places_other_words_by_all_their_neighbours(spark):
-    rng = np.random.default_rng(7)
-    counts = rng.integers(0, 60, (4, 4)).astype(float)
-    tables = rng.integers(0, 3, (5, 8)) * rng.integers(0, 9, (5, 8))
-    tables[3] = 0  # without a neighbour
-    owner, slot = np.nonzero(tables)
-    gains = brown.placing_gains(counts, owner, slot, tables[owner, slot], len(tables))
-    for i, table in enumerate(tables):
-        value = []
-        for c in range(4):
-            g = counts.copy()
-            g[c] += table[:4]
-            g[:, c] += table[4:]
-            value.append(brown.likelihood(g))
-        assert gains[i] - gains[i, 0] == pytest.approx(np.array(value) - value[0], abs=1e-6)
-        for now in range(4):  # moving a word is taking it out and placing it again
-            g = counts.copy()
-            g[now] += table[:4]
-            g[:, now] += table[4:]
-            best, gain = brown.best_class(g, now, table[:4], table[4:], 0.0)
-            assert value[best] == pytest.approx(max(value), abs=1e-6) and gain == pytest.approx(max(value) - value[now], abs=1e-6)
-
-    texts = ["x p y q", "p x x q", "q rare1 p q", None, "rare1 rare2", "p rare1 p", "rare3 rare2 q x"] * 2
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    chunks = brown.stored(brown.code_corpus(df.repartition(3), F.lit(False), chunk_tokens=9), "chunks")
-    name = lambda w: int(brown.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]) if w else brown.END
-    top, of = ["", "p", "q", "x"], np.array([0, 1, 1, 2])
-    hashes = np.array([name(w) for w in top], np.uint64)
-    seen = collections.Counter()
-    for t in texts:
-        words = [""] + (t or "").split() + [""]
-        for a, b in zip(words, words[1:]):
-            if a in top and b not in top:
-                seen[b, 3 + int(of[top.index(a)])] += 1
-            if b in top and a not in top:
-                seen[a, int(of[top.index(b)])] += 1
-    got = collections.Counter()
-    for r in brown._neighbours(chunks, hashes, of, 3).collect():
-        for e in np.frombuffer(r.slots, np.uint32).tolist():
-            got[r.word % 2**64, e >> 23] += e & (2**23 - 1)
-    assert got == {(name(w), s): n for (w, s), n in seen.items()}
-    small = rng.integers(0, 9, (3, 3)).astype(float)
-    placed = {r.word % 2**64: r["class"] for r in brown._placed(brown._neighbours(chunks, hashes, of, 3), small).collect()}
-    assert set(placed) == {name(w) for w in ("y", "rare1", "rare2", "rare3")}
-    for w in ("y", "rare1", "rare2", "rare3"):
-        value = []
-        for c in range(3):
-            g = small.copy()
-            g[c] += [seen[w, s] for s in range(3)]
-            g[:, c] += [seen[w, 3 + s] for s in range(3)]
-            value.append(brown.likelihood(g))
-        assert value[placed[name(w)]] == pytest.approx(max(value), abs=1e-9)
-
-
 def test_brown_score_is_recomputed(spark):
     """Every score again, word by word, from the fitted classes."""
     rng = random.Random(5)
