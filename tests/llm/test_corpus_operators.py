@@ -314,26 +314,35 @@ def test_brown_finds_the_classes_and_sums_to_one(spark):
     model = brown.fit(chunks, classes=3, frequent=50, rounds=12)
     got = brown.score(chunks, model).where("held_out").collect()
     assert all(r.score > r.base_score * 0.87 for r in got)  # half of the words can follow: log(1/21) / log(1/42) = 0.81
-    moves = np.random.default_rng(3).integers(0, 99, (3, 3)).astype(float)
+    assert model.classes == 4  # one for the words that no neighbour places
+    moves = np.random.default_rng(3).integers(0, 99, (4, 4)).astype(float)
+    moves[:, model.tokens == 0] = 0  # nothing moves to a class without words
     table = brown.step_table(moves, model)
     mass = model.tokens - model.discount * model.types
-    assert 10 ** table[:, :3] @ mass + 10 ** table[:, brown.UNKNOWN] == pytest.approx(np.ones(4))
-    random_counts = np.random.default_rng(1).integers(0, 50, (4, 4)).astype(float)
-    after, before = random_counts[1] / 5, random_counts[:, 1] / 5
-    best, gain = brown.best_class(random_counts, 1, after, before, 2.0)
-    base = random_counts.copy()
-    base[1] -= after
-    base[:, 1] -= before
-    base[1, 1] -= 2.0
-    base = np.maximum(base, 0)
-    value = []
-    for b in range(4):
-        g = base.copy()
-        g[b] += after
-        g[:, b] += before
-        g[b, b] += 2.0
-        value.append(brown.likelihood(g))
-    assert best == int(np.argmax(value)) and gain == pytest.approx(max(value) - value[1], abs=1e-6)
+    assert 10 ** table[:, :4] @ mass + 10 ** table[:, brown.UNKNOWN] == pytest.approx(np.ones(5))
+
+
+def test_brown_gain_is_the_true_gain():
+    """The proposed class and its gain against the likelihood of every move, from words that should move and words that should stay."""
+    rng = np.random.default_rng(1)
+    moving = 0
+    for _ in range(40):
+        after, before, own = rng.integers(0, 9, 4).astype(float), rng.integers(0, 9, 4).astype(float), float(rng.integers(0, 4))
+        now = int(rng.integers(0, 4))
+        rest = rng.integers(0, 30, (4, 4)).astype(float)
+
+        def placed(c):
+            g = rest.copy()
+            g[c] += after
+            g[:, c] += before
+            g[c, c] += own
+            return g
+
+        value = [brown.likelihood(placed(c)) for c in range(4)]
+        best, gain = brown.best_class(placed(now), now, after, before, own)
+        assert best == int(np.argmax(value)) and gain == pytest.approx(max(value) - value[now], abs=1e-6)
+        moving += best != now
+    assert 5 < moving < 40
 
 
 def test_brown_score_is_recomputed(spark):
@@ -355,16 +364,16 @@ def test_brown_score_is_recomputed(spark):
             for a, b in zip([start] + [w[1] for w in words], words):
                 moves[a, b[1]] += 1
     total, d, lam = sum(tokens.values()), model.discount, model.smoothing
-    share = [tokens[c] / total for c in range(4)]
+    share = [tokens[c] / total for c in range(5)]
 
     def move(a, b):
-        return share[b] if a is None else (moves[a, b] + lam * share[b]) / (sum(moves[a, c] for c in range(4)) + lam)
+        return share[b] if a is None else (moves[a, b] + lam * share[b]) / (sum(moves[a, c] for c in range(5)) + lam)
 
     for r in brown.score(chunks, model).collect():
         wanted, a = 0.0, start
         for w in coded[r.doc_id]:
             if w is None:
-                wanted += math.log10(sum(move(a, c) * d * types[c] / tokens[c] for c in range(4) if tokens[c]))
+                wanted += math.log10(sum(move(a, c) * d * types[c] / tokens[c] for c in range(5) if tokens[c]))
             else:
                 wanted += math.log10(move(a, w[1]) * (w[0] - d) / tokens[w[1]])
             a = w and w[1]

@@ -10,7 +10,8 @@ never tokens; all counts cover all training tokens.
    every one of these words is moved to the class that gains most likelihood while the others
    stay; only half of them (alternating) really move at a time, and a round that loses is undone.
 3. All other words: in each chunk, a word's neighbours of step 2 vote for the class that explains
-   them best; the class with most votes, weighted by occurrences, is the word's.
+   them best; the class with most votes, weighted by occurrences, is the word's. Words without
+   such a neighbour form a class of their own.
 4. Probability of a word after another: transition between their classes, interpolated with the
    class's own share, times the word's share of its class. Shares are discounted by one constant;
    what is freed belongs to unknown words, so known and unknown words sum to one.
@@ -201,6 +202,8 @@ def best_class(counts: np.ndarray, now: int, after: np.ndarray, before: np.ndarr
     score = (_xlogx(g + after[None, :]) - _xlogx(g)).sum(axis=1) + (_xlogx(g + before[:, None]) - _xlogx(g)).sum(axis=0)
     d = np.diagonal(g)
     score += _xlogx(d + after + before + own) + _xlogx(d) - _xlogx(d + after) - _xlogx(d + before)
+    # the word's neighbours count in the margins of their classes, wherever it goes
+    rows, columns = rows + before, columns + after
     score -= _xlogx(rows + n_after) - _xlogx(rows) + _xlogx(columns + n_before) - _xlogx(columns)
     best = int(np.argmax(score))
     return best, float(score[best] - score[now])
@@ -274,8 +277,8 @@ def _votes(chunks: DataFrame, top: np.ndarray, of: np.ndarray, counts: np.ndarra
             cls = follows = here = there = None
             slot, n = np.unique(np.concatenate(slots), return_counts=True)
             other = np.flatnonzero((class_of < 0) & (train > 0))
-            # words without any neighbour in `top` stay with class 0's vote of weight 0
-            best = np.zeros(len(words), np.int32)
+            # words without any neighbour in `top` vote with weight 0 for the class of the unplaced
+            best = np.full(len(words), classes, np.int32)
             table = np.concatenate([ratio, ratio.T])
             owner = slot // (2 * classes)
             bounds = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
@@ -293,10 +296,13 @@ def _votes(chunks: DataFrame, top: np.ndarray, of: np.ndarray, counts: np.ndarra
     return chunks.mapInArrow(vote, "word long, class int, n long")
 
 
-def fit(chunks: DataFrame, classes: int = 64, frequent: int = 2048, rounds: int = 12, smoothing: float = 10.0) -> Model:
-    """Fit the model on the training texts of some chunks. `classes` and `frequent` bound what the driver holds."""
-    if not 1 <= classes < UNKNOWN:
-        raise ValueError("between 1 and 254 classes")
+def fit(chunks: DataFrame, classes: int = 64, frequent: int = 4096, rounds: int = 30, smoothing: float = 10.0) -> Model:
+    """Fit the model on the training texts of some chunks. `classes` and `frequent` bound what the driver holds.
+
+    The model has one class more than `classes`, for the words that no neighbour places.
+    """
+    if not 1 <= classes < UNKNOWN - 1:
+        raise ValueError("between 1 and 253 classes")
     spark = chunks.sparkSession
     counted = stored(vocabulary(chunks), "vocabulary")
     totals = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
@@ -305,7 +311,7 @@ def fit(chunks: DataFrame, classes: int = 64, frequent: int = 2048, rounds: int
     top = counted.orderBy(F.desc("n"), "word").limit(frequent).toPandas()["word"].to_numpy(np.int64).view(np.uint64)
     if not len(top):
         empty = spark.createDataFrame([], "word long, n long, class int")
-        return Model(empty, classes, discount, smoothing, np.zeros(classes), np.zeros(classes), 0, 0, 0)
+        return Model(empty, classes + 1, discount, smoothing, np.zeros(classes + 1), np.zeros(classes + 1), 0, 0, 0)
     of, counts = exchange(_pairs(chunks, top), len(top), classes, rounds)
     # from Arrow: a Python list would start further workers on every executor
     fixed = spark.createDataFrame(pa.table({"word": _signed(top), "class": pa.array(of, pa.int32())}))
@@ -313,11 +319,11 @@ def fit(chunks: DataFrame, classes: int = 64, frequent: int = 2048, rounds: int
     chosen = votes.groupBy("word").agg(F.max_by("class", F.struct("n", -F.col("class"))).alias("class"))
     full = stored(counted.join(chosen.unionByName(fixed), "word"), "word-classes")
     sizes = full.groupBy("class").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types")).toPandas()
-    tokens, types = np.zeros(classes), np.zeros(classes)
+    tokens, types = np.zeros(classes + 1), np.zeros(classes + 1)
     tokens[sizes["class"]], types[sizes["class"]] = sizes["tokens"], sizes["types"]
     end = np.flatnonzero(top == END)
     end_class = int(of[end[0]]) if len(end) else int(full.where(F.col("word") == END).first()["class"])
-    return Model(full, classes, discount, smoothing, tokens, types, n_tokens, n_types, end_class)
+    return Model(full, classes + 1, discount, smoothing, tokens, types, n_tokens, n_types, end_class)
 
 
 def _classed(chunks: DataFrame, model: Model) -> DataFrame:
