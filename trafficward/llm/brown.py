@@ -219,12 +219,14 @@ def exchange(pairs: DataFrame, m: int, classes: int, rounds: int) -> tuple[np.nd
     counts = class_counts(links, of, classes)
     value = likelihood(counts)
 
-    def proposals(of: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    def proposals(of: np.ndarray, counts: np.ndarray, share: int, turn: int) -> pd.DataFrame:
         def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("word", "other", "n", "next")) for b in batches]
             if not seen:
                 return
             word, other, n, after = (np.concatenate(c) for c in zip(*seen))
+            due = (word // classes + word + turn) % share == 0  # only these may move in this round
+            word, other, n, after = word[due], other[due], n[due], after[due]
             mine, at = np.unique(word, return_inverse=True)
             itself = word == other
             table = np.zeros((2, len(mine), classes))
@@ -237,8 +239,8 @@ def exchange(pairs: DataFrame, m: int, classes: int, rounds: int) -> tuple[np.nd
 
     share = 2
     for turn in range(rounds):
-        found = proposals(of, counts)
-        found = found[(found["gain"] > 1e-6) & ((found["word"] // classes + found["word"] + turn) % share == 0)]
+        found = proposals(of, counts, share, turn)
+        found = found[found["gain"] > 1e-6]
         moved = of.copy()
         moved[found["word"]] = found["class"]
         new = class_counts(links, moved, classes)
