@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,26 @@ def test_degenerate_tables(spark):
     same = spark.createDataFrame([("x", 1.0), ("y", 1.0), ("z", 1.0)], "channelId string, a double")
     points, columns = similarity.robust_points(same)
     assert columns == ["a"] and points.count() == 3
+
+
+@pytest.mark.parametrize("shift, size", [(0.0, 1.0), (1e6, 1.0), (0.0, 1e-9), (-3e4, 50.0)])
+def test_products_settle_nothing_that_differences_tell_otherwise(shift, size):
+    rng = np.random.default_rng(7)
+    b = shift + size * rng.integers(-3, 4, (300, 8))
+    a = np.concatenate([b[:40] + size * 1e-7 * rng.normal(size=(40, 8)), b[40:90], shift + size * rng.normal(size=(60, 8))])
+    away = neighbours._distances(a, b)
+    for radius in (0.0, size * 2.0, size * np.sqrt(3.0), float(np.median(away)), -1.0):
+        assert (neighbours.within(a, b, radius) == (away <= radius)).all()
+    names, others = [f"q{i:03d}" for i in range(len(a))], [f"s{i:03d}" for i in range(len(b))]
+    found = neighbours._closest(5)(pd.DataFrame({"rep": names}), pd.DataFrame({"rep": others}), a, b)
+    for i, rows in found.groupby("rep"):
+        mine = away[names.index(i)]
+        best = np.lexsort((np.arange(len(b)), mine))[:5]
+        assert list(rows.other) == [others[j] for j in best] and (rows.distance.to_numpy() == mine[best]).all()
+
+
+def test_distances_by_a_product_are_those_of_differences():
+    rng = np.random.default_rng(8)
+    b = 1000 + rng.normal(size=(200, 64))
+    a = np.concatenate([b[:50], b[50:90] + 1e-9 * rng.normal(size=(40, 64)), rng.normal(size=(30, 64))])
+    np.testing.assert_allclose(neighbours.distances_by_product(a, b), neighbours._distances(a, b), rtol=1e-9, atol=0)
