@@ -212,6 +212,16 @@ def test_encoder_equals_the_library(name, spaced):
         assert ids.tolist() == [i for x in wanted for i in x]
 
 
+def test_encoder_remembers_units_in_arrays():
+    own = encoder.UnitEncoder("byte_bpe_50k.json", True)
+    texts = [" ".join(f"q{i * 7919 % 100003:x}z" for i in range(a, a + 500)) for a in range(0, 20000, 400)]
+    for t in texts:
+        assert own.encode([t])[0].tolist() == own.library.encode(t, add_special_tokens=False).ids
+    held = sum(x.nbytes for x in vars(own).values() if isinstance(x, np.ndarray))
+    assert not any(isinstance(x, dict) and len(x) > 1000 for x in vars(own).values())
+    assert len(own.names) > 20000 and held < 64 * len(own.names) and (np.diff(own.names.astype(float)) >= 0).all()
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(2)
     cases = [np.zeros(0), np.array([5]), np.arange(128), np.full(1000, 7), rng.integers(0, 2**32, 3000), rng.zipf(1.2, 5000) % 2**32]
@@ -464,6 +474,40 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     assert sorted(few) == sorted(many)
 
 
+def test_simhash_gives_the_first_candidates(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for number in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(1500)]
+        rows.append((2 * number, " ".join(words)))
+        rows.append((2 * number + 1, " ".join([*words[:-1], "other"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = simhash._signatures(df.select(F.xxhash64("text").alias("tag"), F.col("doc_id").alias("key"), "text"), 5)
+    prints = {r.least: r.fingerprint % 2**64 for r in nodes.collect()}
+    near = {i for i in range(0, 80, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 2}
+    assert len(near) > 30 and len(set(prints.values())) > 35
+    keys = nodes.select("tag", F.col("least").alias("key"))
+    pairs = simhash.print_candidates(nodes).join(keys.toDF("a", "i"), "a").join(keys.toDF("b", "j"), "b").select("i", "j").collect()
+    assert {tuple(sorted(p)) for p in pairs} == {(i, i + 1) for i in near}
+    given = []
+    candidates = simhash.print_candidates
+    monkeypatch.setattr(simhash, "print_candidates", lambda n: given.append(1) or candidates(n))
+    assert sorted(r.doc_id for r in simhash.without_near_copies(df).collect()) == list(range(0, 80, 2))
+    assert given
+
+
+def test_majority_of_a_long_text_is_counted_in_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    shingles, owner = rng.integers(0, 2**64, 1000, np.uint64), np.sort(rng.integers(0, 7, 1000))
+    n = np.bincount(owner, minlength=8)
+    whole = simhash._majority(shingles, owner, n)
+    monkeypatch.setattr(simhash, "_SLICE", 64)
+    assert (simhash._majority(shingles, owner, n) == whole).all() and whole[7] == 0
+    for i in range(7):
+        mine = [int(x) for x in shingles[owner == i]]
+        assert whole[i] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mine) > len(mine))
+
+
 def alike(one: str, two: str) -> float:
     a, b = (set(zip(*[t.split()[i:] for i in range(5)])) for t in (one, two))
     return len(a & b) / len(a | b)

@@ -160,6 +160,17 @@ def _shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndar
     return shingles[fresh], owner[fresh]
 
 
+def _majority(shingles: np.ndarray, owner: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text: the bits set in over half of its distinct shingles; zero without any."""
+    sums = np.zeros((len(n), BITS), np.int64)
+    for i in range(0, len(shingles), _SLICE):  # memory stays bounded for any text
+        part, mine = shingles[i : i + _SLICE], owner[i : i + _SLICE]
+        heads = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums[mine[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > n[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+
+
 def _commonness(rows: DataFrame, width: int) -> np.ndarray:
     """For each cell of shingles, the number of bits of the count of texts that have one of them."""
 
@@ -189,7 +200,8 @@ def _commonness(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def _signatures(rows: DataFrame, width: int) -> DataFrame:
-    """(tag, least, n, prefix, text): the number of distinct shingles and the first of them, common ones last.
+    """(tag, least, n, fingerprint, prefix, text): the number of distinct shingles, their SimHash and the first of them,
+    common ones last.
 
     Two sets with a likeness of 0.8 share at least 4/5 of either, so one of the first n - ceil(4n/5) + 1
     of both, whatever order all texts go by. A text without words has the shingle 0 for a prefix.
@@ -208,12 +220,14 @@ def _signatures(rows: DataFrame, width: int) -> DataFrame:
             tokens = np.zeros(int(where[-1]), np.uint64)
             tokens[np.repeat(n > 0, np.where(n > 0, keep, 1))] = few
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, where).astype(np.int32)), pa.array(tokens.view(np.int64)))
+            prints = pa.array(_majority(shingles, owner, n))
             yield pa.RecordBatch.from_arrays(
-                [block.column("tag"), block.column("key"), pa.array(n.astype(np.int32)), prefix, block.column("text")], ["tag", "key", "n", "prefix", "text"]
+                [block.column("tag"), block.column("key"), pa.array(n.astype(np.int32)), prints, prefix, block.column("text")],
+                ["tag", "key", "n", "fingerprint", "prefix", "text"],
             )
 
-    signed = rows.select("tag", "key", "text").mapInArrow(sign, "tag long, key long, n int, prefix array<long>, text string")
-    return signed.groupBy("tag").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("n", "prefix", "text")])
+    signed = rows.select("tag", "key", "text").mapInArrow(sign, "tag long, key long, n int, fingerprint long, prefix array<long>, text string")
+    return signed.groupBy("tag").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("n", "fingerprint", "prefix", "text")])
 
 
 def _sets(asked: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -270,11 +284,27 @@ def _shared(nodes: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(several, "token long, tag long"), "shared-shingles")
 
 
+def print_candidates(nodes: DataFrame, distance: int = 2, blocks: int = 4) -> DataFrame:
+    """Pairs (a, b) of tags whose SimHash fingerprints are equal or linked within `distance` bits.
+
+    Texts with one fingerprint meet at the smallest tag of them, which stands for them in the joins on blocks.
+    """
+    signed = nodes.where("n > 0").select("tag", "fingerprint")
+    prints = stored(signed.groupBy("fingerprint").agg(F.min("tag").alias("lead")), "fingerprints")
+    equal = signed.join(prints, "fingerprint").where("tag <> lead").select(F.col("lead").alias("a"), F.col("tag").alias("b"))
+    close = near_links(prints.select("fingerprint"), distance, blocks).distinct()
+    one, two = (prints.select(F.col("fingerprint").alias(c), F.col("lead").alias(f"{c}_lead")) for c in ("a", "b"))
+    close = close.join(one, "a").join(two, "b").select(F.least("a_lead", "b_lead").alias("a"), F.greatest("a_lead", "b_lead").alias("b"))
+    return stored(equal.unionByName(close), "print-pairs")
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame | None = None, width: int = 5, crowd: int = 16) -> DataFrame:
     """Links (a, b) of tags that connect all pairs of texts whose shingle sets have a likeness of 0.8 or more.
 
-    Such a pair shares a shingle of both prefixes, so no pair is missed; each link is confirmed by
-    the sets. Texts that share a shingle are compared pair by pair, up to `crowd` of them. Of a
+    SimHash fingerprints within 2 bits, joined on pigeonhole blocks, are the first candidates, and each is
+    confirmed by the sets. Fingerprints of a pair at 0.8 differ in some ten bits of 64, so blocks alone miss pairs;
+    the exact way for the rest: such a pair shares a shingle of both prefixes, and pairs that do and are not
+    connected yet are confirmed by the sets too, so none is missed. Texts that share a shingle are compared pair by pair, up to `crowd` of them. Of a
     larger crowd each is first compared with one text, another one each round, while a tenth of these
     comparisons still links; what is then left unconnected is compared pair by pair. A pair is dropped
     unread if the shingles that it can share, in the prefixes and behind the one that ends first, are too
@@ -303,8 +333,12 @@ def similar_links(nodes: DataFrame, texts: DataFrame | None = None, width: int =
     def both(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct()
 
-    pairs = paired(sized.where(F.col("m") <= crowd).withColumn("root", F.col("tag")), "heavy", F.lit(True))
+    pairs = print_candidates(nodes)
     links = _alike(pairs, _sets(both(pairs).join(named, "tag"), texts, width))
+    roots = components(links).toDF("tag", "root")
+    light = sized.where(F.col("m") <= crowd).join(roots, "tag", "left").withColumn("root", F.coalesce("root", "tag"))
+    pairs = paired(light, "heavy", F.col("root") != F.col("root2"))
+    links = links.unionByName(_alike(pairs, _sets(both(pairs).join(named, "tag"), texts, width)))
     crowded = sized.where(F.col("m") > crowd).select("token", "tag", "n", "light")
     if crowded.isEmpty():
         return links
@@ -330,7 +364,8 @@ def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text",
     """`df`, all columns, with one row of each group of near copies: the one with the smallest id.
 
     Near copies are linked where the sets of their shingles of `width` words have a likeness (shared over
-    all) of 0.8 or more, told by the sets; shingles are 64-bit hashes. Groups are all that links reach.
+    all) of 0.8 or more: candidates by SimHash, the rest by shared shingles, all told by the sets; shingles are
+    64-bit hashes. Groups are all that links reach.
     Equal texts are one node; null texts are empty, and all texts without words are one
     group. Null ids come first; of rows equal in id and text one stays.
     """
