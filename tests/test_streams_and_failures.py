@@ -75,6 +75,20 @@ def test_silent_keys_are_forgotten_and_orphans_are_firsts(spark, tmp_path):
     assert state["numRowsTotal"] < 8  # twelve addresses came by, only the last ones and their timers remain
 
 
+def test_state_is_kept_by_buckets_and_outside_the_heap(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(seconds=i // 4), f"10.0.{i % 3000}", "a") for i in range(6000)]
+    path = str(tmp_path / "many")
+    query = live.write_gaps(stream(spark, tmp_path, rows, 2), path, f"{path}/log")
+    query.awaitTermination()
+    got = {r[TIE]: r.ip_time_gap for r in spark.read.parquet(f"{path}/gaps").collect()}
+    assert got == {i: 0 if i < 3000 else 750 for i in range(6000)}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024  # 3,000 addresses
+    counted = live.write_counts(live.ip_bursts(stream(spark, tmp_path, rows[:40], 1), 2), f"{path}/out", f"{path}/log2")
+    counted.awaitTermination()
+    assert any(k.lower().startswith("rocksdb") for k in counted.lastProgress["stateOperators"][0]["customMetrics"])
+
+
 def test_counts_hold_open_windows_and_do_not_depend_on_batches(spark, tmp_path, requests):
     wanted = {}
     for _, at, ip, _ in requests:
