@@ -135,6 +135,8 @@ def near_duplicates(
 #: Cells in which texts are counted per shingle, to put common shingles last.
 CELLS = 1 << 20
 _SLICE = 1 << 16
+#: Longs of a text's parity marks: a bit for each of 64 times as many classes of shingles.
+MARKS = 8
 
 
 def _shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +173,17 @@ def _majority(shingles: np.ndarray, owner: np.ndarray, n: np.ndarray) -> np.ndar
     return np.packbits(2 * sums > n[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
 
 
+def _marks(shingles: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, MARKS) longs: for each class of shingles (their top bits), whether a text has an odd number of them.
+
+    Two sets differ in at least as many shingles as their marks differ in bits.
+    """
+    classes = 64 * MARKS
+    cell = owner * classes + (shingles >> np.uint64(64 - (classes.bit_length() - 1))).astype(np.int64)
+    odd = np.bincount(cell, minlength=n * classes).reshape(n, classes) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+
+
 def _commonness(rows: DataFrame, width: int) -> np.ndarray:
     """For each cell of shingles, the number of bits of the count of texts that have one of them."""
 
@@ -200,8 +213,8 @@ def _commonness(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def _signatures(rows: DataFrame, width: int) -> DataFrame:
-    """(tag, least, n, fingerprint, prefix, text): the number of distinct shingles, their SimHash and the first of them,
-    common ones last.
+    """(tag, least, n, fingerprint, marks, prefix, text): the number of distinct shingles, their SimHash, their
+    parity marks and the first of them, common ones last.
 
     Two sets with a likeness of 0.8 share at least 4/5 of either, so one of the first n - ceil(4n/5) + 1
     of both, whatever order all texts go by. A text without words has the shingle 0 for a prefix.
@@ -221,13 +234,19 @@ def _signatures(rows: DataFrame, width: int) -> DataFrame:
             tokens[np.repeat(n > 0, np.where(n > 0, keep, 1))] = few
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, where).astype(np.int32)), pa.array(tokens.view(np.int64)))
             prints = pa.array(_majority(shingles, owner, n))
+            marks = [pa.array(np.ascontiguousarray(m)) for m in _marks(shingles, owner, len(n)).T]
+            marks = pa.StructArray.from_arrays(marks, [f"m{i}" for i in range(MARKS)])
             yield pa.RecordBatch.from_arrays(
-                [block.column("tag"), block.column("key"), pa.array(n.astype(np.int32)), prints, prefix, block.column("text")],
-                ["tag", "key", "n", "fingerprint", "prefix", "text"],
+                [block.column("tag"), block.column("key"), pa.array(n.astype(np.int32)), prints, marks, prefix, block.column("text")],
+                ["tag", "key", "n", "fingerprint", "marks", "prefix", "text"],
             )
 
-    signed = rows.select("tag", "key", "text").mapInArrow(sign, "tag long, key long, n int, fingerprint long, prefix array<long>, text string")
-    return signed.groupBy("tag").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("n", "fingerprint", "prefix", "text")])
+    kind = f"struct<{', '.join(f'm{i}: long' for i in range(MARKS))}>"
+    signed = rows.select("tag", "key", "text").mapInArrow(
+        sign, f"tag long, key long, n int, fingerprint long, marks {kind}, prefix array<long>, text string"
+    )
+    firsts = [F.first(c).alias(c) for c in ("n", "fingerprint", "marks", "prefix", "text")]
+    return signed.groupBy("tag").agg(F.min("key").alias("least"), *firsts)
 
 
 def _sets(asked: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -308,7 +327,8 @@ def similar_links(nodes: DataFrame, texts: DataFrame | None = None, width: int =
     larger crowd each is first compared with one text, another one each round, while a tenth of these
     comparisons still links; what is then left unconnected is compared pair by pair. A pair is dropped
     unread if the shingles that it can share, in the prefixes and behind the one that ends first, are too
-    few. `texts` has (tag, key, text); without it, `nodes` has the texts.
+    few, and in a crowd, inside the join itself, if its parity marks differ in more bits than its sets may
+    differ in shingles (a ninth of both together). `texts` has (tag, key, text); without it, `nodes` has the texts.
     """
     texts = nodes.select("tag", "text") if texts is None else texts
     named = nodes.select("tag", F.col("least").alias("key"))
@@ -318,11 +338,13 @@ def similar_links(nodes: DataFrame, texts: DataFrame | None = None, width: int =
     of_tag = sized.groupBy("tag").agg(F.count_if(F.col("m") <= crowd).alias("light"), F.count_if(F.col("m") > crowd).alias("heavy"))
     sized = stored(sized.join(of_tag, "tag"), "sized-shingles")
     fits = F.least("n", "n2") * 5 >= F.greatest("n", "n2") * 4
+    differ = sum((_far(F.col(f"marks.m{i}"), F.col(f"marks2.m{i}")) for i in range(MARKS)), F.lit(0))
+    marked = 9 * differ <= F.col("n") + F.col("n2")
 
     def paired(rows: DataFrame, others: str, apart: Column) -> DataFrame:
         """`others`: the number of a text's shared shingles that `rows` do not have."""
-        rows = rows.withColumn("others", F.col(others)).select("token", "tag", "n", "others", "root")
-        other = rows.toDF("token", "tag2", "n2", "others2", "root2")
+        rows = rows.withColumn("others", F.col(others)).select("token", "tag", "n", "others", "root", *[c for c in rows.columns if c == "marks"])
+        other = rows.toDF(*[c if c == "token" else f"{c}2" for c in rows.columns])
         found = rows.join(other, "token").where((F.col("tag") < F.col("tag2")) & fits & apart)
         most = F.greatest("n", "n2")
         behind = F.greatest(F.floor((4 * most + 4) / 5) - 1, F.lit(0))
@@ -342,22 +364,25 @@ def similar_links(nodes: DataFrame, texts: DataFrame | None = None, width: int =
     crowded = sized.where(F.col("m") > crowd).select("token", "tag", "n", "light")
     if crowded.isEmpty():
         return links
+    crowded = crowded.join(nodes.select("tag", "marks"), "tag")
     sets = _sets(crowded.select("tag").distinct().join(named, "tag"), texts, width)
     turn = 0
     while True:
         roots = components(links).toDF("tag", "root")
-        rooted = crowded.join(roots, "tag", "left").select("token", "tag", "n", "light", F.coalesce("root", "tag").alias("root"))
-        one = F.min(F.struct(F.xxhash64("tag", F.lit(turn)).alias("h"), "tag", "n", "root")).alias("s")
+        rooted = crowded.join(roots, "tag", "left").select("token", "tag", "n", "light", "marks", F.coalesce("root", "tag").alias("root"))
+        one = F.min(F.struct(F.xxhash64("tag", F.lit(turn)).alias("h"), "tag", "n", "marks", "root")).alias("s")
         mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), one)
         rooted = stored(rooted.join(mixed.where("low < high").select("token", "s"), "token"), "crowded-shingles")
         star = rooted.where(F.col("root") != F.col("s.root")).withColumn("n2", F.col("s.n")).where(fits)
-        star = stored(star.select(F.least("tag", "s.tag").alias("a"), F.greatest("tag", "s.tag").alias("b")).distinct(), "near-stars")
+        star = star.withColumn("marks2", F.col("s.marks")).withColumn("close", marked)
+        star = star.select(F.least("tag", "s.tag").alias("a"), F.greatest("tag", "s.tag").alias("b"), "close").distinct()
+        star = stored(star, "near-stars")
         tried = star.count()
-        found = _alike(star, sets)
+        found = _alike(star.where("close"), sets)
         links, turn = links.unionByName(found), turn + 1
         if not tried or 10 * found.count() < tried:
-            return links.unionByName(_alike(paired(rooted, "light", F.col("root") != F.col("root2")), sets))
-        crowded = rooted.select("token", "tag", "n", "light")
+            return links.unionByName(_alike(paired(rooted, "light", (F.col("root") != F.col("root2")) & marked), sets))
+        crowded = rooted.select("token", "tag", "n", "light", "marks")
 
 
 def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
