@@ -154,8 +154,8 @@ class SecondOrderBoosting:
     subsample: float = 1.0
     key: str = "channelId"
     loss: str = "squared"
-    keep: int = 20
-    rows_per_partition: int = 100_000
+    keep: int = 5
+    rows_per_partition: int = 10_000
     jobs: int = field(default=0, init=False)
 
     def _edges(self, rows: DataFrame, width: int) -> list[np.ndarray]:
