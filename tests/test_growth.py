@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from trafficward.catalog import channel_queries as cq
 from trafficward.catalog.base import Tables
-from trafficward.operators import quality as ql
+from trafficward.operators import neighbours, quality as ql
 from trafficward.operators.boosting import SecondOrderBoosting
 from trafficward.session import compact
 
@@ -29,3 +31,11 @@ def test_models_read_the_log_once(spark, monkeypatch):
     cq._prepared(t)
     cq._graph_input(t)
     assert len(seen) == 2 and not any("event_id" in plan or "parquet" in plan for plan in seen)
+
+
+def test_points_go_to_fewer_cells_than_in_proportion(spark):
+    """Where nothing can be pruned a point visits every cell, so their number is what the shuffle grows by."""
+    points = spark.range(20_000).select(F.col("id").cast("string").alias("rep"), F.array(F.rand(1), F.rand(2)).alias("vec"), F.lit(1).alias("weight"))
+    grid = neighbours.build_grid(points)
+    assert len(grid.pivots) <= 20_000**0.5 * 64 / 1024 + 1
+    assert grid.points.groupBy("cell", "block").count().agg(F.max("count")).first()[0] <= 3 * 20_000**0.5 * 16
