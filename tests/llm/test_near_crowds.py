@@ -55,3 +55,28 @@ def test_crowds_cost_no_comparisons_of_unlike_texts(spark, monkeypatch):
     assert pairs == {(i, 66 + i) for i in range(10)}
     assert sorted(map(sorted, groups.values())) == sorted(map(list, pairs))
     assert sum(compared) <= 4 * len(pairs)
+
+
+def test_near_copies_of_a_crowd_are_linked_without_pairing_all(spark):
+    """Groups of near copies: their kinds link them with pairs in proportion to the texts, not to the square of a group."""
+    random.seed(11)
+    draw = lambda k: [random.getrandbits(64) for _ in range(k)]
+    rows, size = [], 60
+    for g in range(4):
+        common = draw(200)
+        rows += [(g * size + i, np.array(sorted(common + draw(8)), np.uint64).tobytes()) for i in range(size)]
+    sets = spark.createDataFrame([(t, bytearray(s)) for t, s in rows], "tag long, shingles binary")
+    links = simhash._kin(sets)
+    assert links.count() <= 2 * 16 * len(rows) / 4
+    roots = {r.node: r.root for r in graph.components(links).collect()}
+    assert [roots.get(t) for t, _ in rows] == [t // size * size for t, _ in rows]
+
+
+def test_shingles_of_the_same_texts_are_joined_once(spark):
+    rows = [(token, tag) for token in range(10) for tag in range(5)] + [(token, tag) for token in (20, 21) for tag in range(3)] + [(30, 1), (30, 7)]
+    merged = simhash._merged(spark.createDataFrame(rows, "token long, tag long")).collect()
+    assert sorted({(r.token, r.times) for r in merged}) == [(0, 10), (20, 2), (30, 1)]
+    held = {}
+    for r in merged:
+        held[r.tag] = held.get(r.tag, 0) + r.times
+    assert held == {tag: sum(t == tag for _, t in rows) for tag in {t for _, t in rows}}

@@ -136,7 +136,7 @@ def near_duplicates(
 CELLS = 1 << 20
 _SLICE = 1 << 16
 #: Longs of a text's parity marks: a bit for each of 64 times as many classes of shingles.
-MARKS = 8
+MARKS = 16
 
 
 def _shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,6 +280,32 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(full.select("a", "b", "one", "two").mapInArrow(check, "a long, b long"), "near-links")
 
 
+def _kin(sets: DataFrame, bands: int = 16, rows: int = 4) -> DataFrame:
+    """Pairs (a, b) of tags that link texts of like sets to the first and the last text of their kind.
+
+    Two texts are of a kind if the `rows` smallest values of a band agree, which two sets with a likeness of 0.8 do in
+    two bands out of five. A text has `bands` kinds and at most two pairs for each, whatever the size of a kind.
+    """
+    mix = np.random.default_rng(7).integers(1 << 63, size=(2, bands * rows), dtype=np.uint64)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((len(batch), bands), np.uint64)
+            for i, raw in enumerate(batch.column("shingles")):
+                shingles = np.frombuffer(raw.as_buffer(), np.uint64)
+                if len(shingles):
+                    lows = [int((((shingles ^ x) * (m | np.uint64(1))) >> np.uint64(8)).min()) for x, m in mix.T]
+                    found[i] = [xxhash.xxh64_intdigest(repr(lows[j : j + rows]), j) for j in range(0, bands * rows, rows)]
+            names = np.repeat(batch.column("tag").to_numpy(), bands)
+            band = np.tile(np.arange(bands, dtype=np.int32), len(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(band), pa.array(found.view(np.int64).ravel())], ["tag", "band", "kind"])
+
+    kinds = stored(sets.mapInArrow(least, "tag long, band int, kind long"), "kinds")
+    ends = kinds.groupBy("band", "kind").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high")
+    met = kinds.join(ends, ["band", "kind"]).select("tag", F.explode(F.array("low", "high")).alias("end")).where("tag <> end")
+    return met.select(F.least("tag", "end").alias("a"), F.greatest("tag", "end").alias("b")).distinct()
+
+
 def _shared(nodes: DataFrame) -> DataFrame:
     """(token, tag) of the shingles that stand in more than one prefix: one pass over rows sorted by shingle."""
 
@@ -303,6 +329,13 @@ def _shared(nodes: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(several, "token long, tag long"), "shared-shingles")
 
 
+def _merged(rooted: DataFrame) -> DataFrame:
+    """`rooted` with one shingle of those that stand in the same texts (told by 128 bits of hash), and `times`, their number."""
+    crowd = [F.count(F.lit(1)).alias("m"), *[F.bit_xor(F.xxhash64("tag", F.lit(i))).alias(f"x{i}") for i in (0, 1)]]
+    same = rooted.groupBy("token").agg(*crowd).groupBy("m", "x0", "x1").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("times"))
+    return rooted.join(same.select("token", "times"), "token")
+
+
 def print_candidates(nodes: DataFrame, distance: int = 2, blocks: int = 4) -> DataFrame:
     """Pairs (a, b) of tags whose SimHash fingerprints are equal or linked within `distance` bits.
 
@@ -324,8 +357,8 @@ def similar_links(nodes: DataFrame, texts: DataFrame | None = None, width: int =
     confirmed by the sets. Fingerprints of a pair at 0.8 differ in some ten bits of 64, so blocks alone miss pairs;
     the exact way for the rest: such a pair shares a shingle of both prefixes, and pairs that do and are not
     connected yet are confirmed by the sets too, so none is missed. Texts that share a shingle are compared pair by pair, up to `crowd` of them. Of a
-    larger crowd each is first compared with one text, another one each round, while a tenth of these
-    comparisons still links; what is then left unconnected is compared pair by pair. A pair is dropped
+    larger crowd each is first compared with the ends of its kinds (`_kin`), then with one text, another one each round,
+    while a tenth of these comparisons still links; what is then left unconnected is compared pair by pair. A pair is dropped
     unread if the shingles that it can share, in the prefixes and behind the one that ends first, are too
     few, and in a crowd, inside the join itself, if its parity marks differ in more bits than its sets may
     differ in shingles (a ninth of both together). `texts` has (tag, key, text); without it, `nodes` has the texts.
@@ -343,12 +376,13 @@ def similar_links(nodes: DataFrame, texts: DataFrame | None = None, width: int =
 
     def paired(rows: DataFrame, others: str, apart: Column) -> DataFrame:
         """`others`: the number of a text's shared shingles that `rows` do not have."""
-        rows = rows.withColumn("others", F.col(others)).select("token", "tag", "n", "others", "root", *[c for c in rows.columns if c == "marks"])
+        rows = rows.withColumn("others", F.col(others)).select("token", "tag", "n", "others", "root", *[c for c in rows.columns if c in ("marks", "times")])
         other = rows.toDF(*[c if c == "token" else f"{c}2" for c in rows.columns])
         found = rows.join(other, "token").where((F.col("tag") < F.col("tag2")) & fits & apart)
         most = F.greatest("n", "n2")
         behind = F.greatest(F.floor((4 * most + 4) / 5) - 1, F.lit(0))
-        found = found.groupBy("tag", "tag2", "n", "n2").agg((F.count(F.lit(1)) + F.first(F.least("others", "others2"))).alias("k"))
+        times = F.sum("times") if "times" in rows.columns else F.count(F.lit(1))
+        found = found.groupBy("tag", "tag2", "n", "n2").agg((times + F.first(F.least("others", "others2"))).alias("k"))
         found = found.where((F.col("k") + behind) * 9 >= (F.col("n") + F.col("n2")) * 4)
         return stored(found.select(F.col("tag").alias("a"), F.col("tag2").alias("b")), "near-pairs")
 
@@ -366,6 +400,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame | None = None, width: int =
         return links
     crowded = crowded.join(nodes.select("tag", "marks"), "tag")
     sets = _sets(crowded.select("tag").distinct().join(named, "tag"), texts, width)
+    one, two = (nodes.select(F.col("tag").alias(s), F.col("n").alias(n), F.col("marks").alias(m)) for s, n, m in (("a", "n", "marks"), ("b", "n2", "marks2")))
+    kin = _kin(sets).join(one, "a").join(two, "b").where(fits & marked).select("a", "b")
+    links = links.unionByName(_alike(stored(kin, "kin"), sets))
     turn = 0
     while True:
         roots = components(links).toDF("tag", "root")
@@ -381,7 +418,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame | None = None, width: int =
         found = _alike(star.where("close"), sets)
         links, turn = links.unionByName(found), turn + 1
         if not tried or 10 * found.count() < tried:
-            return links.unionByName(_alike(paired(rooted, "light", (F.col("root") != F.col("root2")) & marked), sets))
+            return links.unionByName(_alike(paired(_merged(rooted), "light", (F.col("root") != F.col("root2")) & marked), sets))
         crowded = rooted.select("token", "tag", "n", "light", "marks")
 
 
