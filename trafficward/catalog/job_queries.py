@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans import jobs
 from ..schema import ANOMALY_FLAGS
-from ..session import settle
+from ..session import written
 from .base import query
 
 
@@ -19,7 +19,7 @@ from .base import query
 def _(t):
     # the counts of what must not occur are zero in the twin; the scores themselves are fitted
     scored = jobs.score_log(t.traffic)
-    rows = settle(jobs.classify_log(t.traffic, scored["scores"], scored["flags"])["rows"])
+    rows = written(jobs.classify_log(t.traffic, scored["scores"], scored["flags"])["rows"], "classified")
     bad = lambda c: F.count_if(c)
     judged = rows.agg(
         F.count("*").alias("n_rows"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -12,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.common import hash01, right_closed
-from ..session import compact, settle
+from ..session import compact, settle, side_by_side
 from .boosting import BoostedTrees, SecondOrderBoosting
 from .ranks import quantile_struct
 
@@ -237,8 +238,8 @@ def fit_supervised(
     labelled = compact(settle(split(prepared.where(F.col("original_label").isNotNull())))).persist()
     try:
         train, test = labelled.where(~F.col("is_test")), labelled.where(F.col("is_test"))
-        models, metrics = {}, []
-        for name in names:
+
+        def fit(name: str) -> tuple:
             if name == "random_forest":
                 banded = train.withColumn(
                     "band", F.array_position(F.array(*[F.lit(b) for b in BANDS]), category(F.col("original_label"))) - 1
@@ -246,11 +247,12 @@ def fit_supervised(
                 forest = RandomForestClassifier(
                     featuresCol="features", labelCol="band", numTrees=trees, maxDepth=10, seed=42
                 )
-                models[name] = forest.fit(banded.withColumn("band", F.col("band").cast("double")))
-                continue
-            models[name] = regressor(name, trees).fit(train)
-            metrics.append((name, *evaluate(models[name].transform(test), "original_label", name)))
-        return Scorer(models, metrics, FEATURES)
+                return forest.fit(banded.withColumn("band", F.col("band").cast("double"))), None
+            model = regressor(name, trees).fit(train)
+            return model, (name, *evaluate(model.transform(test), "original_label", name))
+
+        fitted = dict(zip(names, side_by_side(prepared.sparkSession, [partial(fit, name) for name in names])))
+        return Scorer({name: model for name, (model, _) in fitted.items()}, [m for _, m in fitted.values() if m], FEATURES)
     finally:
         labelled.unpersist()
 

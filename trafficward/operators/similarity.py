@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.common import correlation
 from ..schema import numeric_columns
+from ..session import side_by_side
 from .hierarchy import mean_silhouette
 from .neighbours import collapse, nearest_neighbours, pairs_within
 from .quality import robust_scale, standard_scale
@@ -71,7 +73,9 @@ def kmeans(points: DataFrame, k: int = 10, tries: int = 10, seed: int = 42) -> t
     """(id, vec, cluster) of the cheapest of several seeded K-means fits, and its model."""
     data = _vectors(points).persist()
     try:
-        fits = [KMeans(k=k, seed=seed + i, initSteps=2).fit(data) for i in range(tries)]
+        fit = lambda i: KMeans(k=k, seed=seed + i, initSteps=2).fit(data)
+        data.count()  # cached before the tries, which run side by side
+        fits = side_by_side(points.sparkSession, [partial(fit, i) for i in range(tries)])
         best = min(fits, key=lambda m: m.summary.trainingCost)
         labelled = best.transform(data).select("id", "vec", F.col("prediction").alias("cluster"))
         return labelled, best

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from ..operators import anomaly, channels, patterns, quality, report, similarity
 from ..operators.classify import Thresholds, classification_summary, classify
 from ..operators.clean import clean
-from ..session import settle
+from ..session import settle, side_by_side, written
 from ..sources.traffic import require_columns
 from .features import nested_features, row_features
 
@@ -28,20 +28,28 @@ def score_log(df: DataFrame, approximate: bool = False, contamination: float = 0
     """Features → channel scores → similarity → anomalies → report tables.
 
     The cleaned log with its row features and the channel tables are written once to the shared
-    folder: scoring and all five anomaly families read them instead of the raw log.
+    folder: scoring and all five anomaly families read them instead of the raw log, each the columns
+    it needs. Scoring, clustering and the anomaly families do not need each other and run side by side.
     """
-    rows = settle(row_features(clean(require_columns(df))))
+    rows = written(row_features(clean(require_columns(df))), "rows")
     metrics = settle(channels.quality_metrics(rows))
-    scores, scorer = quality.score_channels(metrics, approximate=approximate)
-    scores = settle(scores)
-    features = settle(channels.channel_features(rows))
-    points, columns = similarity.robust_points(features)
-    clusters = None
-    if columns:
-        k = min(10, max(1, points.count() - 1))
-        clusters, _ = similarity.kmeans(settle(points), k)
-    found = anomaly.detect(rows, contamination, approximate)
-    flags = settle(anomaly.canonical_flags(found, anomaly.channel_keys(rows)))
+
+    def score() -> tuple[DataFrame, quality.Scorer]:
+        scores, scorer = quality.score_channels(metrics, approximate=approximate)
+        return settle(scores), scorer
+
+    def cluster() -> DataFrame | None:
+        points, columns = similarity.robust_points(settle(channels.channel_features(rows)))
+        if not columns:
+            return None
+        points = settle(points)
+        return similarity.kmeans(points, min(10, max(1, points.count() - 1)))[0]
+
+    def flag() -> DataFrame:
+        found = anomaly.detect(rows, contamination, approximate)
+        return settle(anomaly.canonical_flags(found, anomaly.channel_keys(rows)))
+
+    (scores, scorer), clusters, flags = side_by_side(df.sparkSession, [score, cluster, flag])
     tables = {
         "metrics": metrics,
         "scores": scores,
