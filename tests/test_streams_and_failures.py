@@ -124,6 +124,21 @@ def test_a_failing_family_is_null_and_named(spark, monkeypatch):
         assert table[channel].overall_anomaly_count == 3 * raised
 
 
+def test_a_failure_is_no_result(spark, monkeypatch):
+    """The query of all five families must not give a table when one of them is broken."""
+    from trafficward.catalog.all import REGISTRY
+
+    ok = spark.createDataFrame([("a", False), ("b", True)], "channelId string, volume_anomaly boolean")
+    for name in ("temporal", "geographic", "device", "volume"):
+        monkeypatch.setattr(anomaly, f"{name}_anomalies", lambda *_: ok)
+    monkeypatch.setattr(anomaly, "behavioural_anomalies", lambda *_: 1 / 0)
+    with pytest.raises(anomaly.DetectionError, match="behavioral: ZeroDivisionError"):
+        REGISTRY["K13_all_families"].run(spark, "/root/testdata/sf0.001")
+    table = {r.channelId: r for r in anomaly.canonical_flags(anomaly.detect(ok), ok.select("channelId")).collect()}
+    assert all(r.behavioral_anomaly is None for r in table.values())
+    assert table["a"].overall_anomaly_flag is False and table["b"].overall_anomaly_flag is None  # one more would raise it
+
+
 def test_repeated_row_ids_do_not_multiply(spark):
     rows = spark.createDataFrame([(i % 5, "a") for i in range(10)], f"{TIE} long, channelId string")
     quality = spark.createDataFrame([("a", 4.0)], "channelId string, quality_score double")

@@ -106,7 +106,7 @@ def _(t):
 
 @query("K13_all_families", "channelId:s " + " ".join(f"{f}:b" for f in ANOMALY_FLAGS) + " overall_anomaly_count:i overall_anomaly_flag:b")
 def _(t):
-    found = an.detect(t.rows)
+    found = an.detect(t.rows).complete()
     return an.canonical_flags(found, an.channel_keys(t.clean))
 
 

@@ -46,7 +46,7 @@ def score_log(df: DataFrame, approximate: bool = False, contamination: float = 0
         return similarity.kmeans(points, min(10, max(1, points.count() - 1)))[0]
 
     def flag() -> DataFrame:
-        found = anomaly.detect(rows, contamination, approximate)
+        found = anomaly.detect(rows, contamination, approximate).complete()
         return settle(anomaly.canonical_flags(found, anomaly.channel_keys(rows)))
 
     (scores, scorer), clusters, flags = side_by_side(df.sparkSession, [score, cluster, flag])
