@@ -13,7 +13,7 @@ def points_of(spark, array):
     return spark.createDataFrame([(f"p{i:03d}", v.tolist()) for i, v in enumerate(array)], "id string, vec array<double>")
 
 
-@pytest.mark.parametrize("cell_size", [16, 1024])
+@pytest.mark.parametrize("cell_size", [2, 1024])
 def test_copies_are_paired_like_others(spark, cell_size):
     rng = np.random.default_rng(4)
     array = np.concatenate([rng.normal(size=(40, 3)), np.tile([1.0, 1.0, 1.0], (30, 1)), np.tile([1.0, 1.0, 1.1], (3, 1))])
@@ -28,7 +28,35 @@ def test_cosine_pairs_of_copies(spark, threshold):
     rng = np.random.default_rng(5)
     array = np.repeat(rng.normal(size=(20, 5)), 3, axis=0) * np.tile([1.0, 1.0, 2.0], 20)[:, None]  # same directions
     unit = array / np.linalg.norm(array, axis=1, keepdims=True)
-    found = {(r.id_a, r.id_b): r.similarity for r in similarity.cosine_pairs(points_of(spark, array), threshold, 8).collect()}
+    found = {(r.id_a, r.id_b): r.similarity for r in similarity.cosine_pairs(points_of(spark, array), threshold, 1).collect()}
     cosine = unit @ unit.T
     expected = {(f"p{i:03d}", f"p{j:03d}"): cosine[i, j] for i in range(60) for j in range(i + 1, 60) if cosine[i, j] >= threshold}
     assert found.keys() == expected.keys() and all(found[p] == pytest.approx(expected[p]) for p in found)
+
+
+def test_neighbours_across_many_packs(spark):
+    rng = np.random.default_rng(6)
+    array = np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(50, 3)) * 0.1 + 5, np.tile([5.0, 5.0, 5.0], (9, 1))])
+    df = points_of(spark, array)
+    assert neighbours.build_grid(neighbours.collapse(df)[0], 2).packs > 8
+    away = np.sqrt(((array[:, None] - array[None]) ** 2).sum(axis=2))
+    found = {}
+    for r in neighbours.nearest_neighbours(df, 4, 2).orderBy("id", "rank").collect():
+        found.setdefault(int(r.id[1:]), []).append((int(r.neighbour[1:]), round(r.distance, 9)))
+    for i in range(len(array)):
+        order = sorted((away[i, j], j) for j in range(len(array)) if j != i)[:4]
+        assert found[i] == [(j, pytest.approx(d, abs=1e-8)) for d, j in order]
+
+
+def test_dense_groups_across_many_packs(spark):
+    rng = np.random.default_rng(7)
+    array = np.concatenate([rng.normal(c, 0.3, size=(60, 2)) for c in (0, 4, 9)] + [rng.uniform(-20, 20, size=(20, 2))])
+    found = [{r.id: r.cluster for r in density.dbscan(points_of(spark, array), 0.4, 4, size).collect()} for size in (2, 1024)]
+    assert found[0] == found[1] and len({c for c in found[0].values() if c >= 0}) >= 3
+
+
+def test_packs_meet_without_a_shuffle(spark):
+    """A vector used to be shuffled once for every block it was compared with."""
+    points = spark.range(300).select(F.col("id").cast("string").alias("id"), F.array(F.rand(1), F.rand(2)).alias("vec"))
+    plan = neighbours.pairs_within(points, 0.1, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
