@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trafficward.operators import density, neighbours, similarity
+from trafficward.operators import density, hierarchy, neighbours, similarity
 
 
 def points_of(spark, array):
@@ -60,3 +60,21 @@ def test_packs_meet_without_a_shuffle(spark):
     points = spark.range(300).select(F.col("id").cast("string").alias("id"), F.array(F.rand(1), F.rand(2)).alias("vec"))
     plan = neighbours.pairs_within(points, 0.1, 2)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("most", [64, 2])
+def test_silhouettes_shuffle_no_vector_for_its_products(spark, monkeypatch, most):
+    monkeypatch.setattr(hierarchy, "_FEW", most)  # as with many clusters, too
+    rng = np.random.default_rng(8)
+    x, c = rng.normal(size=(90, 3)), np.arange(90) % 5
+    x[80:] = x[3]
+    rows = [(f"p{i:03d}", v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, c))]
+    found = hierarchy.silhouettes(spark.createDataFrame(rows, "id string, vec array<double>, cluster int"), 10)
+    away = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for r in found.collect():
+        i = int(r.id[1:])
+        means = [away[i, c == k].sum() / ((c == k).sum() - (k == c[i])) for k in range(5)]
+        other = min(m for k, m in enumerate(means) if k != c[i])
+        assert r.silhouette == pytest.approx((other - means[c[i]]) / max(other, means[c[i]]), abs=1e-9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
