@@ -78,3 +78,28 @@ def test_silhouettes_shuffle_no_vector_for_its_products(spark, monkeypatch, most
         assert r.silhouette == pytest.approx((other - means[c[i]]) / max(other, means[c[i]]), abs=1e-9)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+
+
+def test_ward_links_every_vector_whatever_their_number(spark):
+    """Beyond 2,000 vectors cells stood for them: 1,999 merges, fewer than the vectors call for."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2100, 2)).round(3)
+    x = np.unique(x, axis=0)
+    rows = [(f"p{i:04d}", v.tolist()) for i, v in enumerate(x)]
+    labelled, merges = hierarchy.ward(spark.createDataFrame(rows, "id string, vec array<double>"), 5)
+    assert merges.count() == len(x) - 1 > 2000
+    assert labelled.count() == len(x)
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_rounds_and_the_last_task_merge_alike(spark, grid):
+    rng = np.random.default_rng(10)
+    x = np.unique(rng.integers(0, 9, (120, 2)).astype(float) if grid else rng.normal(size=(120, 3)), axis=0)
+    rows = [(f"p{i:03d}", v.tolist(), 1 + i % 3) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame(rows, "node string, vec array<double>, size long")
+    found = [sorted((r.a, r.b, round(r.height, 9), r.size) for r in hierarchy.ward_merges(nodes, size).collect()) for size in (4, 4096)]
+    assert len(found[0]) == len(x) - 1
+    if not grid:
+        assert found[0] == found[1]
+    pairs = {tuple(sorted(m[:2])) for m in found[0]}
+    assert len(pairs) == len(found[0]) and all(a < b for a, b in pairs)
