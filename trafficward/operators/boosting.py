@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import written
+from ..session import parts_for, written
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -177,7 +177,7 @@ class SecondOrderBoosting:
             return BoostedTrees(self.features_column, self.prediction_column, 0.0, [], [], self.depth, np.zeros(0))
         edges = self._edges(rows, width)
         base = head["mean"] if self.loss == "squared" else float(np.log(max(head["mean"], 1e-6) / max(1 - head["mean"], 1e-6)))
-        parts = max(1, -(-head["n"] // self.rows_per_partition))
+        parts = parts_for(df.sparkSession, head["n"], self.rows_per_partition)
         data = written(self._coded(rows.repartition(parts), edges, width, base), "boosting-rows").persist()
         model = BoostedTrees(self.features_column, self.prediction_column, base, edges, [], self.depth, np.zeros(width))
         fresh: list[Tree] = []
